@@ -44,10 +44,9 @@ def held_out(doc_id: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Words in the text as a long, 0 for null."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), SPACES[1:], " " * (len(SPACES) - 1))
-    parts = F.size(F.split(spaced, " +", -1))
-    edges = F.when(spaced.startswith(" "), 1).otherwise(0) + F.when(spaced.endswith(" "), 1).otherwise(0)
-    return F.when(F.length(F.trim(spaced)) == 0, F.lit(0)).otherwise(parts - edges).cast("long")
+    parts = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", -1)
+    edges = F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0) + F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
+    return (F.size(parts) - edges).cast("long")
 
 
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:

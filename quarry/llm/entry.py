@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import language_id, mixing, packing, simhash
 from .common import table
 
 
@@ -14,8 +14,10 @@ def op5(spark, sf_dir):
 
 def queries() -> dict:
     return {
+        "op1_rank_order_language": language_id.op1,
         "op2_weighted_fair_mix": mixing.op2,
         "op5_minimum_bin_slack": op5,
+        "op9_covering_simhash": simhash.op9,
     }
 
 
