@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, packing, simhash
+from . import language_id, mixing, packing, quality, simhash
 from .common import table
 
 
@@ -17,9 +17,13 @@ def queries() -> dict:
         "op1_rank_order_language": language_id.op1,
         "op2_weighted_fair_mix": mixing.op2,
         "op5_minimum_bin_slack": op5,
+        "op7_line_frequency": quality.op7,
         "op9_covering_simhash": simhash.op9,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_weighted_fair_mix": mixing.OP2_SQL}
+    return {
+        "op2_weighted_fair_mix": mixing.OP2_SQL,
+        "op7_line_frequency": quality.OP7_SQL,
+    }
