@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, packing, quality, simhash
+from . import language_id, mixing, packing, quality, simhash, substrings
 from .common import table
 
 
@@ -16,6 +16,7 @@ def queries() -> dict:
     return {
         "op1_rank_order_language": language_id.op1,
         "op2_weighted_fair_mix": mixing.op2,
+        "op4_sparse_suffix_array": substrings.op4,
         "op5_minimum_bin_slack": op5,
         "op7_line_frequency": quality.op7,
         "op9_covering_simhash": simhash.op9,
