@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, packing, quality, simhash, substrings
+from . import embeddings, language_id, mixing, packing, quality, simhash, substrings
 from .common import table
 
 
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op5_minimum_bin_slack": op5,
         "op7_line_frequency": quality.op7,
         "op9_covering_simhash": simhash.op9,
+        "op10_pca_tiles": embeddings.op10,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_weighted_fair_mix": mixing.OP2_SQL,
         "op7_line_frequency": quality.OP7_SQL,
+        "op10_pca_tiles": embeddings.OP10_SQL,
     }
