@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, language_id, mixing, packing, quality, simhash, substrings
+from . import embeddings, language_id, mixing, packing, quality, simhash, substrings, toxicity
 from .common import table
 
 
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op4_sparse_suffix_array": substrings.op4,
         "op5_minimum_bin_slack": op5,
         "op7_line_frequency": quality.op7,
+        "op8_weighted_lexicon": toxicity.op8,
         "op9_covering_simhash": simhash.op9,
         "op10_pca_tiles": embeddings.op10,
     }
