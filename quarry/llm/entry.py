@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, language_id, mixing, packing, quality, simhash, substrings, toxicity
+from . import embeddings, html_text, language_id, mixing, packing, quality, simhash, substrings, toxicity
 from .common import table
 
 
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op2_weighted_fair_mix": mixing.op2,
         "op4_sparse_suffix_array": substrings.op4,
         "op5_minimum_bin_slack": op5,
+        "op6_text_tag_ratio": html_text.op6,
         "op7_line_frequency": quality.op7,
         "op8_weighted_lexicon": toxicity.op8,
         "op9_covering_simhash": simhash.op9,
