@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import embeddings, html_text, language_id, mixing, packing, quality, simhash, substrings, toxicity
 from .common import table
 
@@ -23,6 +25,7 @@ def queries() -> dict:
         "op8_weighted_lexicon": toxicity.op8,
         "op9_covering_simhash": simhash.op9,
         "op10_pca_tiles": embeddings.op10,
+        "pipeline": corpus_pipeline.run,
     }
 
 

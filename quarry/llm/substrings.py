@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WORD, table
 
@@ -422,7 +423,7 @@ def splitters(docs: DataFrame, n_docs: int, n_ranges: int) -> list[bytes]:
 
 
 def cut_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """The documents, without their text, and _n_bytes, _n_removed, _n_spans, _kept_sha256, _span_starts, _span_ends.
+    """Per document doc_id, _rest (a struct of its columns but the text), _n_bytes, _n_removed, _n_spans, _kept_sha256, _span_starts, _span_ends.
 
     with_text: also _kept_text, the bytes kept as text without what is left of a cut character, and _was_null.
     """
@@ -431,14 +432,20 @@ def cut_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     n_blocks, n_ranges = max(1, -(-size["b"] // block)), max(LEAST_RANGES, -(-size["b"] // RANGE_BYTES))
     plan = Plan(n_ranges, min(64, max(40, size["b"].bit_length() + 14)), splitters(docs, size["n"], n_ranges), with_text)
     dealt = docs.withColumn("_bytes", F.col("text").cast("binary")).withColumn("_block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n_blocks)).cast("int"))
-    fields = [f for f in docs.schema.fields if f.name != "text"]
-    dealt = dealt.select("_block", "_bytes", *[f.name for f in fields])
+    dealt = docs.select(
+        F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n_blocks)).cast("int").alias("_block"), F.col("text").cast("binary").alias("_bytes"), "doc_id",
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_rest"),
+    )
     by_block = dealt.groupBy("_block")
     grams = by_block.applyInArrow(lambda key, t: plan.send_grams(key, t), MESSAGE_DDL)
     gram_answers = grams.groupBy("to").applyInArrow(lambda key, t: plan.answer_grams(key, t), MESSAGE_DDL)
     contexts = by_block.cogroup(gram_answers.groupBy("to")).applyInArrow(lambda key, t, found: plan.send_contexts(key, t, found), MESSAGE_DDL)
     answers = contexts.groupBy("to").applyInArrow(lambda key, t: plan.answer_contexts(key, t), MESSAGE_DDL).unionByName(gram_answers)
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", _n_bytes long, _n_removed long, _n_spans long, _kept_sha256 string, _span_starts array<long>, _span_ends array<long>" + (", _kept_text string, _was_null boolean" if with_text else "")
+    out = T.StructType([dealt.schema["doc_id"], dealt.schema["_rest"]])
+    for name, kind in (("_n_bytes", "long"), ("_n_removed", "long"), ("_n_spans", "long"), ("_kept_sha256", "string"), ("_span_starts", "array<long>"), ("_span_ends", "array<long>")):
+        out = out.add(name, kind)
+    if with_text:
+        out = out.add("_kept_text", "string").add("_was_null", "boolean")
     return by_block.cogroup(answers.groupBy("to")).applyInArrow(lambda key, documents, found: plan.cut(documents, found), out)
 
 
@@ -449,7 +456,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     found = cut_repeats(docs, with_text=True).filter((F.col("_n_removed") == 0) | F.col("_kept_text").rlike(WORD))
     kept = F.when(F.col("_was_null"), F.lit(None).cast("string")).otherwise(F.col("_kept_text"))
-    return found.select(*[kept.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return found.select(*[kept.alias("text") if c == "text" else F.col("_rest").getField(c).alias(c) for c in docs.columns])
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
