@@ -442,7 +442,7 @@ def cut_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     contexts = by_block.cogroup(gram_answers.groupBy("to")).applyInArrow(lambda key, t, found: plan.send_contexts(key, t, found), MESSAGE_DDL)
     answers = contexts.groupBy("to").applyInArrow(lambda key, t: plan.answer_contexts(key, t), MESSAGE_DDL).unionByName(gram_answers)
     out = T.StructType([dealt.schema["doc_id"], dealt.schema["_rest"]])
-    for name, kind in (("_n_bytes", "long"), ("_n_removed", "long"), ("_n_spans", "long"), ("_kept_sha256", "string"), ("_span_starts", "array<long>"), ("_span_ends", "array<long>")):
+    for name, kind in (("_n_bytes", "long"), ("_n_removed", "long"), ("_n_spans", "long"), ("_kept_sha256", "string"), ("_span_starts", T.ArrayType(T.LongType())), ("_span_ends", T.ArrayType(T.LongType()))):
         out = out.add(name, kind)
     if with_text:
         out = out.add("_kept_text", "string").add("_was_null", "boolean")
