@@ -85,7 +85,8 @@ def assess(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = S
     base = with_repeated_words(base)
     found = line_table(docs)
     salted = frequent_lines(found, min_documents, share).select(F.col("host").alias("f_host"), F.col("h").alias("f_h"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("f_salt"))
-    rows = found.select("doc_id", "text_hash", "host", F.monotonically_increasing_id().alias("copy"), F.explode("lines").alias("line")).select("doc_id", "text_hash", "host", "copy", "line.h", "line.w", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int").alias("salt"))
+    copies = found.withColumn("copy", F.monotonically_increasing_id())  # a step before the explode, which would number lines
+    rows = copies.select("doc_id", "text_hash", "host", "copy", F.explode("lines").alias("line")).select("doc_id", "text_hash", "host", "copy", "line.h", "line.w", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int").alias("salt"))
     hit = rows.join(salted, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("h") == F.col("f_h")) & (F.col("salt") == F.col("f_salt")))
     # rows that repeat an id, text and source would each add their lines to all of them
     removed = hit.groupBy("doc_id", "text_hash", "host", "copy").agg(F.sum("w").alias("words_removed"))
