@@ -164,7 +164,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
         return Lexicon({})
     share = F.when(F.col("toxic") != 0, F.lit(min(1.0, SAMPLE_TOXIC / sizes[1]))).otherwise(F.lit(min(1.0, SAMPLE_OTHER / sizes[0])))
     ids = marked.filter(F.pmod(F.xxhash64("l_id"), F.lit(1 << 20)) < share * (1 << 20)).select("l_id", (F.col("toxic") != 0).cast("int").alias("toxic"))
-    sample = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("l_id")).select("text", "toxic").persist()
+    # the ids' number is bounded by the sample's, so they go to the documents and no text is shuffled
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("l_id")).select("text", "toxic").persist()
     try:
         n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
         if not n.get(1) or not n.get(0):
