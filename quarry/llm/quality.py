@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialised, table
 
 SPACE = r"[\x20\x09-\x0D]"
 WINDOW, MIN_WORDS, REPEATED_PERCENT = 8, 20, 30
@@ -58,13 +58,6 @@ def normalised(line: Column) -> Column:
     return F.btrim(folded, F.lit(" "))
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, host, lines: array of (line hash, words)."""
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
-    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(normalised(x)).alias("h"), F.size(words_of(x)).alias("w")))
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("source").alias("host"), hashed.alias("lines"))
-
-
 def frequent_lines(lines: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
     """host, h, documents: the lines above the host's limit."""
     hosts = lines.groupBy("host").agg(F.count(F.lit(1)).alias("host_documents")).withColumnRenamed("host", "a_host")
@@ -73,17 +66,25 @@ def frequent_lines(lines: DataFrame, min_documents: int = MIN_DOCUMENTS, share:
     return counts.join(hosts, F.col("host").eqNullSafe(F.col("a_host"))).filter(F.col("documents") > F.col("host_documents") * share).select("host", "h", "documents")
 
 
-def assess(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
-    """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, words_removed, kept."""
+def text_figures(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, text_hash, host, the base figures, and lines: an array of (hash of the normalised line, words)."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
-    base = docs.select(
+    first = docs.select(
         "doc_id", F.xxhash64("text").alias("text_hash"), F.col("source").alias("host"), words_of(F.col("text")).alias("words"), lines.alias("own_lines"),
         F.length(F.regexp_replace(text, SPACE + "+", "")).cast("long").alias("word_chars"), F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
     )
-    base = base.select("doc_id", "text_hash", "host", "word_chars", "n_symbols", F.size("words").cast("long").alias("n_words"), (F.size("own_lines") - F.size(F.array_distinct("own_lines"))).cast("long").alias("n_dup_lines"), windows(F.col("words")).alias("hashes"))
-    base = with_repeated_words(base)
-    found = line_table(docs)
+    hashed = F.transform("own_lines", lambda x: F.struct(F.xxhash64(normalised(x)).alias("h"), F.size(words_of(x)).alias("w")))
+    duplicates = (F.size("own_lines") - F.size(F.array_distinct("own_lines"))).cast("long")
+    second = first.select("doc_id", "text_hash", "host", "word_chars", "n_symbols", F.size("words").cast("long").alias("n_words"), duplicates.alias("n_dup_lines"), windows(F.col("words")).alias("hashes"), hashed.alias("lines"))
+    return with_repeated_words(second)
+
+
+def assess(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
+    """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, words_removed, kept."""
+    figures = materialised(text_figures(docs))  # one pass over the texts; what follows is narrow
+    found = figures.select("doc_id", "text_hash", "host", "lines")
+    base = figures.drop("lines")
     salted = frequent_lines(found, min_documents, share).select(F.col("host").alias("f_host"), F.col("h").alias("f_h"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("f_salt"))
     copies = found.withColumn("copy", F.monotonically_increasing_id())  # a step before the explode, which would number lines
     rows = copies.select("doc_id", "text_hash", "host", "copy", F.explode("lines").alias("line")).select("doc_id", "text_hash", "host", "copy", "line.h", "line.w", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int").alias("salt"))

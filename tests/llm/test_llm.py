@@ -329,7 +329,7 @@ def test_quality_against_plain(spark, docs):
 
 
 def test_quality_has_no_python(spark):
-    plan = quality.assess(documents(spark))._jdf.queryExecution().toString()
+    plan = "".join(f(documents(spark))._jdf.queryExecution().toString() for f in (quality.text_figures, quality.assess))
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
