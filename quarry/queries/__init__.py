@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import importlib
+import re
 
-MODULES = ("notes",)
+MODULES = ("notes", "search")
 
 
 def _modules():
@@ -16,4 +17,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in _modules() for k, s in m.SQL.items()}
+    return {k: _doubles(s) for m in _modules() for k, s in m.SQL.items()}
+
+
+def _doubles(sql: str) -> str:
+    """Number literals with a point as doubles, not decimals; quoted text stays."""
+    parts = re.split(r"('(?:[^']|'')*')", sql)
+    return "".join(p if k % 2 else re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", p) for k, p in enumerate(parts))

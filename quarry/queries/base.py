@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.markdown import link_set, parse_notes, structure
+from ..operators.index import Index
 from ..sources.vault import VAULT_SQL, rendered_vault
 
 #: The date of reference of all queries that need one.
@@ -24,6 +25,21 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_notes(vault(spark, sf_dir))
 
 
+_KEPT: dict = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> Index:
+    """The index over one chunk for each note, built at its first use in a session and kept."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KEPT:
+        for old in _KEPT.values():
+            if old.chunks.sparkSession.sparkContext.applicationId == key[0]:
+                old.release()
+        _KEPT.clear()
+        _KEPT[key] = Index.of(note_chunks(spark, sf_dir))
+    return _KEPT[key]
+
+
 def note_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chunk for each note: chunk_id, path, title, heading (null), line_start, line_end, text, tags, links, flags, scalars, mtime."""
     notes = parsed(spark, sf_dir)
