@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 import re
 
-MODULES = ("notes", "search", "index_graph")
+MODULES = ("notes", "search", "index_graph", "similarity")
 
 
 def _modules():
