@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 import re
 
-MODULES = ("notes", "search", "index_graph", "similarity", "rollups", "evaluation")
+MODULES = ("notes", "search", "index_graph", "similarity", "rollups", "evaluation", "streams")
 
 
 def _modules():
