@@ -46,12 +46,12 @@ def inline_tags(body: Column) -> Column:
 
 def wikilinks(body: Column) -> Column:
     """Targets in order, repeats kept."""
-    return F.transform(F.regexp_extract_all(body, F.lit(WIKILINK), 1), F.trim)
+    return F.transform(F.regexp_extract_all(body, F.lit(WIKILINK), 1), lambda x: F.trim(x))
 
 
 def link_set(text: Column) -> Column:
     """Distinct link texts, sorted; for a chunk."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)\[\[(.*?)\]\]"), 1), F.trim)
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)\[\[(.*?)\]\]"), 1), lambda x: F.trim(x))
     return sorted_distinct(F.filter(found, lambda x: x != ""))
 
 

@@ -8,15 +8,19 @@ scores); batching, retries and checks are here.
 from __future__ import annotations
 
 import math
+import re
 import time
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BATCH, ATTEMPTS, FIRST_WAIT = 64, 3, 0.25
+WORDS = re.compile(r"[^\W_]+")
 
 
 class ProviderError(RuntimeError):
@@ -27,25 +31,36 @@ class Retryable(RuntimeError):
     """What a client raises for an answer that may succeed later (too many requests, a server's error)."""
 
 
+def with_vectors(df: DataFrame, text: str, out: str, embed: Callable[[list[str]], list]) -> DataFrame:
+    """Adds a column of vectors that `embed` gives for each Arrow batch's texts."""
+    at, schema = df.columns.index(text), df.select("*", F.lit(None).cast("array<float>").alias(out)).schema
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(embed([t or "" for t in b.column(at).to_pylist()]), pa.list_(pa.float32()))], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 @dataclass(frozen=True)
 class MockEmbedding:
-    """Hashed words with signs, scaled to length 1: equal texts have equal vectors, shared words draw texts together. Columns only."""
+    """Hashed words with signs, scaled to length 1: equal texts have equal vectors, shared words draw texts together."""
 
     dim: int = 64
     name: str = "mock"
     model: str = "mock-hash"
 
-    def embed(self, text: Column) -> Column:
-        words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-        # each word adds its sign to one place; counted by sorting places, not by a pass for each dimension
-        places = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(self.dim)).cast("int").alias("p"), F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-        zero = F.array_repeat(F.lit(0.0), self.dim)
-        sums = F.transform(zero, lambda z, k: F.aggregate(F.filter(places, lambda x: x["p"] == k), F.lit(0.0), lambda a, x: a + x["s"]))
-        norm = F.sqrt(F.aggregate(F.transform(sums, lambda x: x * x), F.lit(0.0), lambda a, x: a + x))
-        return F.transform(sums, lambda x: F.coalesce(x / F.nullif(norm, F.lit(0.0)), F.lit(0.0)).cast("float"))
+    def vectors(self, texts: list[str]) -> list[np.ndarray]:
+        out = []
+        for text in texts:
+            codes = np.array([zlib.crc32(w.encode()) for w in WORDS.findall(text.lower())], dtype=np.int64)
+            v = np.bincount(codes // 2 % self.dim, weights=np.where(codes % 2, 1.0, -1.0), minlength=self.dim)
+            norm = np.sqrt((v * v).sum())
+            out.append((v / norm if norm else v).astype(np.float32))
+        return out
 
     def apply(self, df: DataFrame, text: str, out: str = "embedding") -> DataFrame:
-        return df.withColumn(out, self.embed(F.col(text)))
+        return with_vectors(df, text, out, self.vectors)
 
 
 def called(client: Callable[[list], list], items: list, attempts: int = ATTEMPTS, wait: float = FIRST_WAIT) -> list:
@@ -73,21 +88,17 @@ class RemoteEmbedding:
     name: str = "remote"
     batch: int = BATCH
 
-    def apply(self, df: DataFrame, text: str, out: str = "embedding") -> DataFrame:
-        client, dim, size, at = self.client, self.dim, self.batch, df.columns.index(text)
-        schema = df.select("*", F.lit(None).cast("array<float>").alias(out)).schema
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                texts, vectors = [t or "" for t in b.column(at).to_pylist()], []
-                for k in range(0, len(texts), size):
-                    for v in called(client, texts[k : k + size]):
-                        if len(v) != dim or not all(map(math.isfinite, v)):
-                            raise ProviderError(f"dimension mismatch: {len(v)} parts, {dim} expected")
-                        vectors.append(v)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float32()))], names=schema.names)
+    def vectors(self, texts: list[str]) -> list[list[float]]:
+        found: list[list[float]] = []
+        for k in range(0, len(texts), self.batch):
+            found += called(self.client, texts[k : k + self.batch])
+        for v in found:
+            if len(v) != self.dim or not all(map(math.isfinite, v)):
+                raise ProviderError(f"dimension mismatch: {len(v)} parts, {self.dim} expected")
+        return found
 
-        return df.mapInArrow(run, schema)
+    def apply(self, df: DataFrame, text: str, out: str = "embedding") -> DataFrame:
+        return with_vectors(df, text, out, self.vectors)
 
 
 @dataclass(frozen=True)
@@ -112,7 +123,7 @@ class RemoteReranker:
         client = self.client
         schema = results.select("*", F.lit(0.0).alias("model_score")).schema
 
-        def run(key, t: pa.Table) -> pa.Table:
+        def run(key, t):  # without hints, by which Spark would look for another kind of function
             asked, texts = t.column(query)[0].as_py(), t.column(text).to_pylist()
             return t.append_column("model_score", pa.array([float(s) for s in called(lambda x: client(asked, x), texts)], pa.float64()))
 

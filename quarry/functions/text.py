@@ -48,3 +48,9 @@ def word_tokens(text: Column) -> Column:
 def uri_component(text: Column) -> Column:
     """Percent-encoding that leaves only letters, digits and -_.~ as they are."""
     return F.replace(F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def neighbour_pairs(items: Column) -> Column:
+    """Each item joined to the next one. The array is an argument, not used inside the lambda, where it would be computed for every element."""
+    following = F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0)))
+    return F.array_compact(F.zip_with(items, following, lambda a, b: F.concat(a, b)))

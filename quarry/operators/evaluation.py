@@ -78,7 +78,7 @@ def compare(base: DataFrame, variant: DataFrame, metrics: list[str]) -> DataFram
     """Cases of two runs side by side: case_id, each metric's difference, and the state (same, better, worse, missing, new)."""
     b, v = base.select("case_id", *[F.col(m).alias(f"b_{m}") for m in metrics], F.lit(True).alias("in_b")), variant.select("case_id", *[F.col(m).alias(f"v_{m}") for m in metrics], F.lit(True).alias("in_v"))
     both = b.join(v, "case_id", "full_outer")
-    diffs = {m: F.round(F.col(f"v_{m}") - F.col(f"b_{m}"), 6) for m in metrics}
+    diffs = {m: F.round(F.col(f"v_{m}") - F.col(f"b_{m}"), 6) + 0.0 for m in metrics}  # no negative zero
     worse = better = F.lit(False)
     for m in metrics:
         worse, better = worse | (diffs[m] < 0), better | (diffs[m] > 0)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.redact import redact_lines
-from ..functions.text import strings
+from ..functions.text import neighbour_pairs, strings
 
 MODES = ("daily", "manual", "weekly", "monthly", "yearly")
 #: Which generated roll-ups a mode reads.
@@ -90,7 +90,7 @@ def plain_terms(text: Column) -> Column:
     """All ASCII words of three characters or more that may be a theme, and neighbouring pairs of other letters; repeats kept."""
     words = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^A-Za-z0-9_\-]+", " ")), " "), lambda w: (F.length(w) >= 3) & ~w.isin(THEME_STOPWORDS))
     other = F.regexp_replace(text, r"[\x00-\x7F]|[^\p{L}\p{N}]", "")
-    pairs = F.when(F.length(other) < 2, strings()).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(other) - 1, F.lit(1))), lambda i: F.substring(other, i, F.lit(2))))
+    pairs = neighbour_pairs(F.filter(F.split(other, ""), lambda c: c != ""))
     return F.concat(words, pairs)
 
 

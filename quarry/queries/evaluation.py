@@ -218,7 +218,7 @@ SQL = {
     "m02_case_metrics": f"WITH {_Q}, {_cases('cs', 'rk')} SELECT case_id, rank, round(recall, 6) AS recall, round(ndcg, 6) AS ndcg, round(mrr, 6) AS mrr, hit_1, hit_3, hit_k, results, files, round(duplicate_rate, 6) AS duplicate_rate FROM cs",
     "m03_summary": f"WITH {_Q}, {_cases('cs', 'rk')} {_TOTAL}",
     "m05_m08_compare": f"""WITH {_Q}, r2 AS (SELECT case_id, path, CASE WHEN path = 'o3' THEN rank + 1 ELSE rank END AS rank FROM rk WHERE case_id <> '10'), {_cases('b', 'rk', "qr.case_id <> '20'")}, {_cases('v', 'r2', "qr.case_id <> '10'")},
-      d AS (SELECT coalesce(b.case_id, v.case_id) AS case_id, b.case_id AS bi, v.case_id AS vi, round(v.recall - b.recall, 6) AS d_recall, round(v.ndcg - b.ndcg, 6) AS d_ndcg, round(v.mrr - b.mrr, 6) AS d_mrr FROM b FULL JOIN v USING (case_id))
+      d AS (SELECT coalesce(b.case_id, v.case_id) AS case_id, b.case_id AS bi, v.case_id AS vi, round(v.recall - b.recall, 6) + 0.0 AS d_recall, round(v.ndcg - b.ndcg, 6) + 0.0 AS d_ndcg, round(v.mrr - b.mrr, 6) + 0.0 AS d_mrr FROM b FULL JOIN v USING (case_id))
       SELECT case_id, d_recall, d_ndcg, d_mrr, CASE WHEN vi IS NULL THEN 'missing' WHEN bi IS NULL THEN 'new' WHEN d_recall < 0 OR d_ndcg < 0 OR d_mrr < 0 THEN 'worse' WHEN d_recall > 0 OR d_ndcg > 0 OR d_mrr > 0 THEN 'better' ELSE 'same' END AS state FROM d""",
     "m09_gate": f"WITH {_Q}, {_cases('cs', 'rk')}, t AS ({_TOTAL}) SELECT 'recall' AS metric, recall AS value, '>=' AS op, 0.5 AS threshold, recall >= 0.5 AS ok FROM t UNION ALL SELECT 'ndcg', ndcg, '>=', 0.99, ndcg >= 0.99 FROM t UNION ALL SELECT 'zero_hit', CAST(zero_hit AS DOUBLE), '<=', 5.0, zero_hit <= 5 FROM t UNION ALL SELECT 'mrr', mrr, '>=', 0.1, mrr >= 0.1 FROM t",
     "m07_percentiles": "WITH k AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(CASE WHEN k = least(n * 50 // 100, n - 1) THEN value END) AS p50, max(CASE WHEN k = least(n * 95 // 100, n - 1) THEN value END) AS p95, max(CASE WHEN k = CAST(round((n - 1) * 50 / 100.0) AS BIGINT) THEN value END) AS r50, max(CASE WHEN k = CAST(round((n - 1) * 95 / 100.0) AS BIGINT) THEN value END) AS r95 FROM k GROUP BY event_type",

@@ -95,7 +95,7 @@ def exact_backend(spark, sf):
     q = rows(spark, "query_id string, raw string", [("53", "the en src3"), ("3", "of and to")])
     qv = table(spark, sf, "embeddings").filter("vec_id in (3, 53)").select(F.col("vec_id").cast("string").alias("query_id"), "embedding")
     found = retrieval.exact_scan(chunks, v, query_analysis.analyze(q), qv)
-    return found.select("query_id", "chunk_id", F.round("keyword_score", 6).alias("keyword_score"), F.round("score", 6).alias("score"))
+    return found.select("query_id", "chunk_id", F.round("keyword_score", 6).alias("keyword_score"), F.round(F.col("score") + 1e-9, 6).alias("score"))
 
 
 def routed(spark, sf):
@@ -195,21 +195,21 @@ def scored(spark, sf):
 
 
 def final_scores(spark, sf):
-    return scored(spark, sf).select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.round("tier_boost", 6).alias("tier_boost"), F.round("intent_boost", 6).alias("intent_boost"), F.round("event_boost", 6).alias("event_boost"), "sources")
+    return scored(spark, sf).select("query_id", "chunk_id", F.round(F.col("score") + 1e-9, 6).alias("score"), F.round("tier_boost", 6).alias("tier_boost"), F.round("intent_boost", 6).alias("intent_boost"), F.round("event_boost", 6).alias("event_boost"), "sources")
 
 
 def quality(spark, sf):
-    return ranking.temporal_quality(scored(spark, sf), F.col("raw"), F.lit(NOW).cast("date")).select("query_id", "chunk_id", F.round("score", 5).alias("score"), "validity_state", F.array_contains("sources", "temporal").alias("temporal"))
+    return ranking.temporal_quality(scored(spark, sf), F.col("raw"), F.lit(NOW).cast("date")).select("query_id", "chunk_id", F.round(F.col("score") + 1e-9, 5).alias("score"), "validity_state", F.array_contains("sources", "temporal").alias("temporal"))
 
 
 def searched(spark, sf):
     found = plans.search(indexed(spark, sf), asked(spark), NOW, plans.SearchOptions(limit=5, link_depth=1, expand=True))
-    return found.select("query_id", "rank", "chunk_id", "path", F.round("score", 5).alias("score"), "validity_state")
+    return found.select("query_id", "rank", "chunk_id", "path", F.round(F.col("score") + 1e-9, 5).alias("score"), "validity_state")
 
 
 def flagship(spark, sf):
     found = plans.search(indexed(spark, sf), asked(spark), NOW, plans.SearchOptions(limit=5, diverse=False))
-    return found.select("query_id", "rank", "chunk_id", "path", F.round("score", 5).alias("score"), "validity_state")
+    return found.select("query_id", "rank", "chunk_id", "path", F.round(F.col("score") + 1e-9, 5).alias("score"), "validity_state")
 
 
 def traced(spark, sf):
@@ -238,7 +238,7 @@ def file_diverse(spark, sf):
 def rerank(spark, sf):
     r = rows(spark, "query_id string, path string, line_start int, chunk_id string, score double", MMR).withColumn("sources", F.array(F.lit("keyword")))
     model = F.length("chunk_id") * F.lit(0.7) - F.col("line_start") / 10
-    return ranking.top(ranking.reranked(r, model), 10).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return ranking.top(ranking.reranked(r, model), 10).select("query_id", "chunk_id", "rank", F.round(F.col("score") + 1e-9, 6).alias("score"))
 
 
 def penalty(spark, sf):
@@ -398,7 +398,7 @@ SQL = {
     "f03_filtered_vector": "WITH p AS (SELECT CAST(q.vec_id AS VARCHAR) AS query_id, CAST(v.vec_id AS VARCHAR) AS chunk_id, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS d FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 3 AND v.label IN (1, 3, 5)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), chunk_id) AS vector_rank FROM p) SELECT query_id, chunk_id, vector_rank, round(d, 6) AS distance FROM r WHERE vector_rank <= 10",
     "f04_exact": f"""WITH {values_sql('q', 'query_id, words', [('53', ['en', 'src3', 'the']), ('3', ['and', 'of', 'to'])])}, c AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, text, [lang, source] AS tags, embedding FROM documents JOIN embeddings ON doc_id = vec_id),
       s AS (SELECT query_id, chunk_id, least(list_sum(list_transform(words, lambda w: CASE WHEN contains(lower(text), w) THEN 0.1 ELSE 0 END + CASE WHEN len(list_filter(tags, lambda t: contains(lower(t), w))) > 0 THEN 0.05 ELSE 0 END)), 1.0) AS keyword_score, list_distance(CAST(c.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS d FROM q JOIN embeddings e ON CAST(e.vec_id AS VARCHAR) = query_id, c)
-      SELECT query_id, chunk_id, round(keyword_score, 6) AS keyword_score, round(0.35 * keyword_score + 0.35 / (1 + d), 6) AS score FROM s""",
+      SELECT query_id, chunk_id, round(keyword_score, 6) AS keyword_score, round(0.35 * keyword_score + 0.35 / (1 + d) + 1e-9, 6) AS score FROM s""",
     "f05_f06_routes": f"WITH {CHUNKS}, {_analysis()}{_ROUTE} SELECT query_id, chunk_id, round(route_score, 6) AS route_score, route_reasons FROM route",
     "f07_f09_tiers": f"WITH {CHUNKS}, {_analysis()}{_TIER} SELECT query_id, chunk_id, round(tier_score, 6) AS tier_score, tier_reasons FROM tier",
     "f10_pool": f"WITH {BRANCHES} SELECT query_id, chunk_id, round(pool_score, 9) AS pool_score, pool_rank FROM pool",
@@ -414,20 +414,20 @@ SQL = {
     "g01_g07_scores": f"WITH {values_sql('n', 'id, bm25, distance, keyword_rank, vector_rank', NUMBERS)} SELECT id, round(1 / (1 + abs(bm25)), 9) AS keyword_score, round(1 / (1 + greatest(distance, 0)), 9) AS vector_score, round(coalesce(1.0 / (60 + keyword_rank), 0) + coalesce(1.0 / (60 + vector_rank), 0), 9) AS fusion, CASE WHEN distance >= 0.95 THEN 0.0 WHEN keyword_rank IS NULL THEN 0.03 ELSE least(keyword_rank, 3) * 0.01 END AS graph_boost FROM n",
     "g03_g09_boosts": f"""WITH {CHUNKS} SELECT chunk_id, CASE WHEN len(list_filter(['wiki', 'topic3', 'en', 'report'], lambda w: contains(lower(path), w))) > 0 THEN 0.08 ELSE 0.0 END AS path_boost, CASE WHEN len(list_filter(tags, lambda t: contains('wiki topic3 en report', lower(t)))) > 0 THEN 0.05 ELSE 0.0 END AS tag_boost,
       round({_RECENCY}, 9) AS recency, round({_METADATA}, 6) + 0.0 AS metadata, round(least(list_sum(list_transform(['wiki', 'topic3', 'en', 'report'], lambda w: CASE WHEN contains(lower(text), w) THEN 0.1 ELSE 0 END + CASE WHEN len(list_filter(tags, lambda t: contains(lower(t), w))) > 0 THEN 0.05 ELSE 0 END)), 1.0), 6) AS overlap FROM chunks""",
-    "g11_g13_final": f"WITH {BRANCHES}{_SCORED} SELECT query_id, chunk_id, round(score, 6) AS score, round(tier_boost, 6) AS tier_boost, round(intent_boost, 6) AS intent_boost, round(event_boost, 6) AS event_boost, sources FROM sc2",
+    "g11_g13_final": f"WITH {BRANCHES}{_SCORED} SELECT query_id, chunk_id, round(score + 1e-9, 6) AS score, round(tier_boost, 6) AS tier_boost, round(intent_boost, 6) AS intent_boost, round(event_boost, 6) AS event_boost, sources FROM sc2",
     "h01_validity": f"WITH {CHUNKS}, v AS (SELECT 'now' AS day, chunk_id, {_reason(NOW, False)} AS stale_reason, {_age(NOW)} AS age_days FROM chunks UNION ALL SELECT 'mid', chunk_id, {_reason('2024-06-15', True)}, {_age('2024-06-15')} FROM chunks) SELECT *, CASE WHEN stale_reason IS NOT NULL THEN 'stale' WHEN day = 'mid' THEN 'historical' ELSE 'current' END AS state FROM v",
     "h02_h05_boosts": f"""WITH {CHUNKS}, v AS (SELECT *, CASE WHEN {_reason('2024-06-15', False)} IS NOT NULL THEN 'stale' ELSE 'current' END AS state, {_age('2024-06-15')} AS age FROM chunks)
       SELECT chunk_id, {_fresh('off', 'true')} * 1.0 AS fresh_off, {_fresh('balanced', 'true')} AS fresh_balanced, {_fresh('recent', 'true')} AS fresh_recent, {_fresh('oldest', 'true')} AS fresh_oldest, {_CONF} AS confidence_boost, CASE WHEN state = 'stale' THEN -0.04 ELSE {_STAT} END AS status_boost, 0.005 * least(len(tags), 4) AS evidence_boost FROM v""",
-    "h06_quality": f"WITH {BRANCHES}{_SCORED}{_QUALITY} SELECT query_id, chunk_id, round(score, 5) AS score, state AS validity_state, applies AS temporal FROM tx",
+    "h06_quality": f"WITH {BRANCHES}{_SCORED}{_QUALITY} SELECT query_id, chunk_id, round(score + 1e-9, 5) AS score, state AS validity_state, applies AS temporal FROM tx",
     "e08_min_score": "SELECT * FROM (VALUES ('q', 'c1'), ('q', 'c2'), ('q', 'c4'), ('q', 'c3'), ('q', 'c7')) t(query_id, chunk_id)",
     "i01_order": "SELECT * FROM (VALUES ('q', 1, 'c7'), ('q', 2, 'c3'), ('q', 3, 'c4'), ('q', 4, 'c2'), ('q', 5, 'c1'), ('q', 6, 'c6'), ('r', 1, 'c7')) t(query_id, rank, chunk_id)",
     "i02_mmr": f"WITH {values_sql('e', 'query_id, chunk_id, diverse_rank', [('q', 'c1', 1), ('q', 'c3', 2), ('q', 'c2', 3), ('q', 'c5', 4), ('q', 'c4', 5), ('p', 'd1', 1)])} SELECT * FROM e",
-    "i04_rerank": f"WITH {values_sql('r', _R5, MMR)}, m AS (SELECT *, least(greatest(length(chunk_id) * 0.7 - line_start / 10, 0), 1) + 0.01 * score AS s FROM r) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, path, line_start, chunk_id) AS rank, round(s, 6) AS score FROM m",
+    "i04_rerank": f"WITH {values_sql('r', _R5, MMR)}, m AS (SELECT *, least(greatest(length(chunk_id) * 0.7 - line_start / 10, 0), 1) + 0.01 * score AS s FROM r) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, path, line_start, chunk_id) AS rank, round(s + 1e-9, 6) AS score FROM m",
     "i05_rerank_text": f"WITH {CHUNKS} SELECT chunk_id, sha256(concat_ws(chr(10), title, heading, path, substr(text, 1, 2000))) AS sha FROM chunks",
     "i06_penalty": f"WITH {BRANCHES}{_SCORED} SELECT query_id, chunk_id, round(CASE WHEN sources = ['keyword'] THEN score * (0.8 - 1) ELSE 0 END, 6) AS adjustment FROM sc2",
     "i07_side_boost": f"WITH {values_sql('e', 'query_id, chunk_id, side_boost, boosted_rank', [('q', 'c1', 0.0, 1), ('q', 'c2', 0.0, 2), ('q', 'c3', 0.0495, 3), ('q', 'c5', 0.0, 4), ('q', 'c4', 0.035, 5), ('p', 'd1', 0.0, 1)])} SELECT * FROM e",
     "i08_file_diverse": f"WITH {values_sql('r', _R5, MMR)}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, line_start, chunk_id) AS rank FROM r), a AS (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY rank) = 1 AS lead_ FROM k) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY NOT lead_, rank) AS position FROM a",
     "i10_json_lines": "SELECT * FROM (VALUES ('q', 1, '{\"rank\":1,\"chunk_id\":\"c1\",\"path\":\"same.md\"}'), ('q', 2, '{\"rank\":2,\"chunk_id\":\"c2\",\"path\":\"same.md\"}'), ('p', 1, '{\"rank\":1,\"chunk_id\":\"d1\",\"path\":\"x.md\"}')) t(query_id, rank, line)",
     "p07_trace": f"WITH {BRANCHES} SELECT query_id, 'keyword' AS stage, count(*) AS rows FROM kw GROUP BY ALL UNION ALL SELECT query_id, 'route', count(*) FROM route GROUP BY ALL UNION ALL SELECT query_id, 'tier', count(*) FROM tier GROUP BY ALL",
-    "search": f"WITH {BRANCHES}{_SCORED}{_QUALITY}, r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, line_start, chunk_id) AS rank, chunk_id, path, round(score, 5) AS score, state AS validity_state FROM tx) SELECT * FROM r WHERE rank <= 5",
+    "search": f"WITH {BRANCHES}{_SCORED}{_QUALITY}, r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, line_start, chunk_id) AS rank, chunk_id, path, round(score + 1e-9, 5) AS score, state AS validity_state FROM tx) SELECT * FROM r WHERE rank <= 5",
 }

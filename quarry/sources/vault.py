@@ -64,7 +64,7 @@ def scan_vault(spark: SparkSession, root: str) -> DataFrame:
     base = root.rstrip("/")
     relative = F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), "^.*?" + _quoted(base) + "/", "")
     files = found.withColumn("path", relative).filter(~pruned(F.col("path")))
-    return with_content_hash(files).select("path", F.col("modificationTime").alias("mtime"), "size", "hash", F.decode("content", F.lit("UTF-8")).alias("source")).orderBy("path")
+    return with_content_hash(files).select("path", F.col("modificationTime").alias("mtime"), "size", "hash", F.decode("content", "UTF-8").alias("source")).orderBy("path")
 
 
 def _quoted(text: str) -> str:
