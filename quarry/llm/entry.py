@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import embeddings, html_text, language_id, mixing, packing, quality, simhash, substrings, toxicity
+from . import embeddings, html_text, language_id, mixing, packing, quality, simhash, substrings, toxicity, warc_fixity
 from .common import table
 
 
@@ -18,6 +18,7 @@ def queries() -> dict:
     return {
         "op1_rank_order_language": language_id.op1,
         "op2_weighted_fair_mix": mixing.op2,
+        "op3_merkle_fixity": warc_fixity.op3,
         "op4_sparse_suffix_array": substrings.op4,
         "op5_minimum_bin_slack": op5,
         "op6_text_tag_ratio": html_text.op6,
@@ -32,6 +33,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_weighted_fair_mix": mixing.OP2_SQL,
+        "op3_merkle_fixity": warc_fixity.OP3_SQL,
         "op7_line_frequency": quality.OP7_SQL,
         "op10_pca_tiles": embeddings.OP10_SQL,
     }
