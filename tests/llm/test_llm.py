@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quarry.llm import embeddings, html_text, language_id, mixing, packing, quality, simhash, substrings, toxicity
+from quarry.llm import embeddings, html_text, language_id, mixing, packing, quality, simhash, substrings, toxicity, warc_fixity
 from quarry.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -529,3 +529,69 @@ def test_pipeline_against_plain(spark, tmp_path):
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
         found[r.doc_id] += r.length
     assert found == expected
+
+
+# 3. WARC fixity
+
+
+def archive(spark):
+    rows = [(k, f"https://h{k % 7}.example/{k}", f"<p>{'x' * (k % 50)}é {k}</p>", 0) for k in range(-5, 2400, 3)] + [(None, None, None, 1), (None, "u", "v", 1), (9, "https://same", "a", 1), (9, "https://same", "a", 1), (9, "https://same", "b", 1)]
+    return spark.createDataFrame(rows, "page_id long, url string, html string, slot int")
+
+
+def plain_audit(own, theirs):
+    key = lambda r: (r.page_id, r.url or "")
+    a, b, out = defaultdict(list), defaultdict(list), Counter()
+    for side, rows in ((a, own), (b, theirs)):
+        for r in rows:
+            side[key(r)].append(hashlib.sha256((r.html or "").encode()).hexdigest())
+    for k in set(a) | set(b):
+        x, y = sorted(a[k]), sorted(b[k])
+        out[k, "missing"] += max(0, len(x) - len(y))
+        out[k, "extra"] += max(0, len(y) - len(x))
+    return +out
+
+
+def test_audit_finds_all_damage(spark):
+    own = archive(spark)
+    hit = F.coalesce("page_id", F.lit(-1)) % 100 == 16
+    theirs = own.filter("page_id is null or page_id % 101 <> 3").withColumn("html", F.when(hit, F.concat("html", F.lit("!"))).otherwise(F.col("html"))).unionByName(own.filter("page_id = 1").withColumn("url", F.lit("new")))
+    found = warc_fixity.audit(own, theirs).collect()
+    count = Counter(((r.page_id, r.url), r.state) for r in found if r.state != "changed")
+    assert count == plain_audit(own.collect(), theirs.collect())
+    assert {r.page_id for r in found if r.state == "changed"} == {r.page_id for r in own.filter(hit).collect()} - {r.page_id for r in found if r.state == "missing"}
+    assert all((r.record_offset is None) == (r.state == "extra") for r in found)
+
+
+def test_audit_of_equal_and_empty_archives(spark):
+    own = archive(spark)
+    assert warc_fixity.audit(own, own.repartition(3)).count() == 0
+    assert warc_fixity.audit(own.limit(0), own.limit(0)).count() == 0
+    assert {r.state for r in warc_fixity.audit(own.limit(0), own.limit(3)).collect()} == {"extra"} and {r.state for r in warc_fixity.audit(own.limit(3), own.limit(0)).collect()} == {"missing"}
+
+
+def test_audit_compares_only_below_what_differs(spark):
+    places = warc_fixity.inventory(warc_fixity.records(archive(spark)))
+    leaf, levels = places.select("slot", "digest"), warc_fixity.height(places)
+    one = places.filter("page_id = 1003").first().slot
+    left, right = warc_fixity.tree(leaf, levels), warc_fixity.tree(leaf.withColumn("digest", F.when(F.col("slot") == one, "x").otherwise(F.col("digest"))), levels)
+    changed = left.join(right.withColumnRenamed("digest", "d"), ["level", "node"]).filter("digest <> d").groupBy("level").count().collect()
+    assert all(r["count"] == 1 for r in changed) and len(changed) == levels + 1
+    assert [r.slot for r in warc_fixity.descend(left, right, levels).collect()] == [one]
+
+
+def test_warc_files_round_trip(spark, tmp_path):
+    import gzip
+
+    pages = archive(spark).filter("page_id is not null").limit(20)
+    body = [r[0].encode() for r in pages.select(warc_fixity.record_bytes(F.col("page_id"), F.col("url"), F.col("html"))).collect()]
+    (tmp_path / "a.warc").write_bytes(b"".join(body))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, body)))
+    (tmp_path / "c.warc").write_bytes(b"".join(body)[:-10])
+    found = warc_fixity.read_warc(spark.read.format("binaryFile").load(str(tmp_path))).collect()
+    by = defaultdict(list)
+    for r in found:
+        by[r.path.rsplit("/", 1)[1]].append(r)
+    html = sorted(r.html.encode() for r in pages.collect())
+    assert sorted(bytes(r.payload) for r in by["a.warc"]) == sorted(bytes(r.payload) for r in by["b.warc.gz"]) == html and len(by["c.warc"]) == 19
+    assert [(r.offset, r.length) for r in by["a.warc"]] == [(sum(map(len, body[:k])), len(b)) for k, b in enumerate(body)]
