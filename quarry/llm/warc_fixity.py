@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import materialised, table
 
-FANOUT, FILE_RECORDS, SLOTS = 16, 1000, 4096
+FANOUT, FILE_RECORDS, SLOTS = 64, 1000, 4096
 RECORD = "path string, offset long, length long, type string, uri string, record_id string, payload binary"
 
 
@@ -75,28 +75,30 @@ def height(places: DataFrame) -> int:
 
 
 def tree(leaf_rows: DataFrame, levels: int) -> DataFrame:
-    """All nodes: level (0: leaves), node, digest. Each level has at most a FANOUTth of the rows below where files are full."""
+    """All nodes, settled: level (0: leaves), node, digest. Each level has at most a FANOUTth of the rows below where files are full.
+
+    One job: a level's shuffle is reused by those above it.
+    """
     level = leaf_rows.select(F.lit(0).alias("level"), F.col("slot").alias("node"), "digest")
     every = level
     for n in range(1, levels + 1):
         children = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "digest"))), lambda c: F.concat_ws("=", c["node"].cast("string"), c["digest"])), ",")
-        level = materialised(level.groupBy(F.floor(F.col("node") / FANOUT).alias("parent")).agg(node_digest(children, "node")).select(F.lit(n).alias("level"), F.col("parent").alias("node"), "digest"))
+        level = level.groupBy(F.floor(F.col("node") / FANOUT).alias("parent")).agg(node_digest(children, "node")).select(F.lit(n).alias("level"), F.col("parent").alias("node"), "digest")
         every = every.unionByName(level)
-    return every
+    return materialised(every)
 
 
 def descend(left: DataFrame, right: DataFrame, levels: int) -> DataFrame:
     """Leaves that differ: slot, in_left, in_right. left, right: trees of the same places. Nothing below equal nodes is compared."""
+    sides = left.withColumn("left", F.lit(True)).unionByName(right.withColumn("left", F.lit(False)))
     wrong = None
     for n in range(levels, -1, -1):
-        a, b = left.filter(F.col("level") == n), right.filter(F.col("level") == n)
+        own = sides.filter(F.col("level") == n)
         if wrong is not None:
-            a, b = (x.withColumn("parent", F.floor(F.col("node") / FANOUT)).join(wrong, "parent", "left_semi") for x in (a, b))
-        both = a.select("node", F.col("digest").alias("l")).join(b.select("node", F.col("digest").alias("r")), "node", "full_outer").filter(~F.col("l").eqNullSafe(F.col("r")))
-        if n == 0:
-            return both.select(F.col("node").alias("slot"), F.col("l").isNotNull().alias("in_left"), F.col("r").isNotNull().alias("in_right"))
-        wrong = materialised(both.select(F.col("node").alias("parent")))
-    return wrong
+            own = own.withColumn("parent", F.floor(F.col("node") / FANOUT)).join(wrong, "parent", "left_semi")
+        both = own.groupBy("node").agg(F.max(F.when(F.col("left"), F.col("digest"))).alias("l"), F.max(F.when(~F.col("left"), F.col("digest"))).alias("r")).filter(~F.col("l").eqNullSafe(F.col("r")))
+        wrong = both.select(F.col("node").alias("parent"))
+    return both.select(F.col("node").alias("slot"), F.col("l").isNotNull().alias("in_left"), F.col("r").isNotNull().alias("in_right"))
 
 
 def roots(nodes: DataFrame, levels: int) -> DataFrame:
@@ -111,8 +113,8 @@ def audit(archive: DataFrame, replica: DataFrame) -> DataFrame:
     places = materialised(inventory(records(archive)))
     theirs = materialised(records(replica))
     levels = height(places)
-    mine = materialised(places.select("slot", node_digest(F.concat_ws(":", F.col("record_offset").cast("string"), F.col("length").cast("string"), "digest"), "leaf")))
-    found = descend(tree(mine, levels), tree(materialised(leaves(places, theirs)), levels), levels)
+    mine = places.select("slot", node_digest(F.concat_ws(":", F.col("record_offset").cast("string"), F.col("length").cast("string"), "digest"), "leaf"))
+    found = descend(tree(mine, levels), tree(leaves(places, theirs), levels), levels)
     damaged = places.join(found, "slot").select("page_id", "url", "file_no", "record_offset", "length", F.when(F.col("in_right"), "changed").otherwise("missing").alias("state"))
     known = places.select(F.col("file_no").alias("k_file"), F.col("page_id").alias("k_id"), F.col("url").alias("k_url"), F.col("copy").alias("k_copy"))
     extra = theirs.join(known, (F.col("file_no") == F.col("k_file")) & F.col("page_id").eqNullSafe(F.col("k_id")) & (F.col("url") == F.col("k_url")) & (F.col("copy") == F.col("k_copy")), "left_anti")
