@@ -75,9 +75,9 @@ def height(places: DataFrame) -> int:
 
 
 def tree(leaf_rows: DataFrame, levels: int) -> DataFrame:
-    """All nodes, settled: level (0: leaves), node, digest. Each level has at most a FANOUTth of the rows below where files are full.
+    """All nodes: level (0: leaves), node, digest. Each level has at most a FANOUTth of the rows below where files are full.
 
-    One job: a level's shuffle is reused by those above it.
+    A level's shuffle is reused by those above it in one job.
     """
     level = leaf_rows.select(F.lit(0).alias("level"), F.col("slot").alias("node"), "digest")
     every = level
@@ -85,12 +85,13 @@ def tree(leaf_rows: DataFrame, levels: int) -> DataFrame:
         children = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "digest"))), lambda c: F.concat_ws("=", c["node"].cast("string"), c["digest"])), ",")
         level = level.groupBy(F.floor(F.col("node") / FANOUT).alias("parent")).agg(node_digest(children, "node")).select(F.lit(n).alias("level"), F.col("parent").alias("node"), "digest")
         every = every.unionByName(level)
-    return materialised(every)
+    return every
 
 
 def descend(left: DataFrame, right: DataFrame, levels: int) -> DataFrame:
     """Leaves that differ: slot, in_left, in_right. left, right: trees of the same places. Nothing below equal nodes is compared."""
-    sides = left.withColumn("left", F.lit(True)).unionByName(right.withColumn("left", F.lit(False)))
+    # settled as one table: through a union in the plan, Spark would push each level's semi join twice, doubling all that is below
+    sides = materialised(left.withColumn("left", F.lit(True)).unionByName(right.withColumn("left", F.lit(False))))
     wrong = None
     for n in range(levels, -1, -1):
         own = sides.filter(F.col("level") == n)
