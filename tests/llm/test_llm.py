@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quarry.llm import embeddings, html_text, language_id, mixing, packing, quality, simhash, substrings, toxicity, warc_fixity
+from quarry.llm import embeddings, html_text, language_id, mixing, near_copies, packing, quality, simhash, substrings, toxicity, warc_fixity
 from quarry.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -403,6 +403,31 @@ def test_simhash_against_plain(spark, docs):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {x for x, c in of.items() if x == c} | {r.doc_id for r in rows if r.doc_id is None}
 
 
+def plain_shingles(text, shingle=5):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
+
+def test_near_copies_beyond_three_bits(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 400))]
+        rows.append((3 * k, " ".join(words)))
+        for copy, edits in ((1, len(words) // 60), (2, len(words) // 25)):
+            other = list(words)
+            for at in rng.sample(range(len(words)), edits):
+                other[at] = "changed"
+            rows.append((3 * k + copy, " ".join(other)))
+    rows += [(500, "one two"), (501, "One  two"), (502, "one two three"), (503, None), (504, " "), (None, "one two")]
+    sets = {d: plain_shingles(t) for d, t in rows if d is not None}
+    near = [(a, b) for a in sets for b in sets if b < a and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert any((plain_fingerprint(dict(rows)[a]) ^ plain_fingerprint(dict(rows)[b])).bit_count() > 3 for a, b in near)
+    of = plain_components(sets, near)
+    kept = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, [x for x, c in of.items() if x == c] + [None]))
+
+
 def test_masks_cover():
     masks = [m % (1 << 64) for m in simhash.covering_masks(3)]
     rng = random.Random(2)
