@@ -12,6 +12,7 @@ Nulls and empty texts give one piece that holds only the end id. Repeated rows a
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 from collections import defaultdict, deque
@@ -27,6 +28,8 @@ from .common import batch
 CAPACITY, END_ID, POOL, CACHED_WORDS = 4096, 2, 384, 400_000
 #: Bits of sequence_id that number the windows of one task.
 LOCAL_BITS = 36
+#: White space to Python but not to the tokenizer, and chunks between what is white space to the tokenizer.
+NOT_SPACE, CHUNKS = re.compile(r"[\x1c-\x1f]"), re.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 PIECES_WITH_IDS = PIECES.append(pa.field("ids", pa.list_(pa.int32())))
@@ -63,7 +66,7 @@ class WordIds(dict):
             text = text.lower()  # the vocabulary is lower case; in this range letter by letter
         except UnicodeEncodeError:
             pass
-        return b"".join([self[chunk] for chunk in text.split()])
+        return b"".join([self[chunk] for chunk in (CHUNKS.findall(text) if NOT_SPACE.search(text) else text.split())])
 
 
 def word_ids(path: str) -> WordIds:

@@ -281,6 +281,13 @@ def test_chunks_have_the_ids_of_texts():
         assert np.frombuffer(ids_of.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_chunks_keep_control_characters():
+    tokenizer, ids_of = Tokenizer.from_file(TOKENIZER), packing.WordIds(Tokenizer.from_file(TOKENIZER))
+    spaces = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    for text in ["a\x1cb", "\x1d", "It's \x1e x\x1f, É\x1c", "日\x1f本 \x1c\x1c", "x".join(spaces)]:
+        assert np.frombuffer(ids_of.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 # 6. HTML
 
 
