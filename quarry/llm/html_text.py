@@ -123,6 +123,13 @@ class Lines(HTMLParser):
             if self.open[k][0] in BLOCKS and tag not in BLOCKS:
                 return  # an inline element's end doesn't end blocks
 
+    def parse_html_declaration(self, i):
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # a declaration that the parser can't read: its "<" is text
+            self.handle_data("<")
+            return i + 1
+
     def handle_data(self, data):
         if not (self.open and self.open[-1][2]):
             self.parts.append(data)
@@ -130,15 +137,8 @@ class Lines(HTMLParser):
 
 def parse(html: str) -> list[tuple[str, int, tuple, int]]:
     parser = Lines()
-    rest = html
-    while True:
-        try:
-            parser.feed(rest)
-            parser.close()
-            break
-        except AssertionError:  # a declaration that the parser can't read: its "<" is text
-            rest = parser.rawdata[1:]
-            parser.rawdata = ""
+    parser.feed(html)
+    parser.close()
     parser.flush()
     return parser.lines
 

@@ -305,6 +305,12 @@ def test_main_text_of_articles_and_broken_pages():
     assert "text" in html_text.main_text("<p>text <![foo bar <p>more") and html_text.main_text("just text") == "just text"
 
 
+def test_unreadable_declarations_are_text_once():
+    assert html_text.main_text("<article><p>text <![foo bar <p>more</article>") == "text <![foo bar\nmore"
+    words = "word " * 200
+    assert html_text.main_text(f"<p>{words}<![ x</p>") == words + "<![ x"
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, None, None, 1), (2, "u", "<p>x</p>", 2), (2, "u", "<p>x</p>", 2)], "page_id long, url string, html string, text int")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect()) == [(1, "", 0), (2, "x", 1), (2, "x", 1)]
