@@ -1,8 +1,9 @@
 """Operator 6: main text of web pages from parser events and text-to-tag ratios.
 
 The standard library's parser streams a page's events; blocks of text between block-level tags are the lines. Text in
-elements that never hold an article (menus, headers and footers of the page, sidebars, forms, scripts, hidden elements, and
-elements whose class, id or role names adverts, notices, comments and the like) makes no line. A line's ratio is its
+elements that never hold an article (menus, headers and footers of the page, sidebars, scripts, hidden elements) makes no
+line. Neither does text in forms and in elements whose role, or a class or id by its whole or leading name, says adverts,
+notices, comments and the like, unless the element is or holds an <article> or <main>, or holds most of the page's text. A line's ratio is its
 characters over its tags (1 at least). Ratios are smoothed with a Gaussian kernel; lines whose smoothed ratio reaches the
 standard deviation of all, or the mean if that is less, are content lines.
 
@@ -35,7 +36,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-NEVER = frozenset("aside button canvas datalist dialog embed fieldset footer form head iframe input label menu nav noscript object script select style svg template textarea title video audio".split())
+NEVER = frozenset("aside button canvas datalist dialog embed fieldset footer head iframe input label menu nav noscript object script select style svg template textarea title video audio".split())
 REGIONS = frozenset({"article", "main"})
 FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline-share captcha comment comments commentlist consent cookie cookies copyright disclaimer disqus footer gdpr hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup promo promoted promotion recommended related reply replies respond search share sharing shares sidebar signup skip social sponsor sponsored subscribe subscription taboola tags toolbar topbar tooltip widget widgets warning".split()
@@ -43,62 +44,94 @@ FURNITURE = frozenset(
 FURNITURE_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
 
-def is_furniture(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether an element's attributes say that it isn't article text; only container elements are asked."""
+def is_hidden(attrs: list[tuple[str, str | None]]) -> bool:
+    for name, value in attrs:
+        value = value or ""
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            return True
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            return True
+    return False
+
+
+def is_furniture(attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether an element's names say that it isn't article text; what it holds may speak against them."""
     for name, value in attrs:
         value = value or ""
         if name in ("class", "id"):
             for token in value.split():
-                parts = [p.lower() for p in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", token)]
-                if any(p in FURNITURE for p in parts):
+                leading = next(filter(None, re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", token)), "")
+                if token.lower() in FURNITURE or leading.lower() in FURNITURE:
                     return True
         elif name == "role":
             if value.lower() in FURNITURE_ROLES:
                 return True
-        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
     return False
 
 
 class Lines(HTMLParser):
-    """Collects lines: (text, tags, path of open containers as numbers, outermost region or 0)."""
+    """Collects lines: (text, tags, path of open containers as numbers, outermost region or 0).
+
+    Until settled() a line's text is in parts, each with the numbers of the elements around it whose names say furniture.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple, int]] = []
-        self.open: list[tuple[str, int, bool, int]] = []  # name, number, text left out, region
-        self.parts: list[str] = []
+        self.lines: list[tuple[list, int, tuple, int]] = []
+        self.open: list[tuple[str, int, bool, int, tuple]] = []  # name, number, text left out, region, doubtful elements
+        self.parts: list[tuple[str, tuple]] = []
+        self.cleared: set[int] = set()  # doubtful elements that hold a region
         self.tags, self.number = 0, 0
 
     def flush(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        self.parts.clear()
-        if text:
-            _, _, _, region = self.open[-1] if self.open else ("", 0, False, 0)
-            self.lines.append((text, max(1, self.tags), tuple(n for _, n, _, _ in self.open), region))
+        parts, self.parts = self.parts, []
+        if any(text.strip() for text, _ in parts):
+            region = self.open[-1][3] if self.open else 0
+            self.lines.append((parts, self.tags, tuple(e[1] for e in self.open), region))
             self.tags = 0
 
+    def settled(self) -> list[tuple[str, int, tuple, int]]:
+        """The lines without what is in furniture; tags of a line that goes count for the next."""
+        total, held = 0, {}
+        for parts, *_ in self.lines:
+            for text, doubtful in parts:
+                size = len("".join(text.split()))
+                total += size
+                for number in doubtful:
+                    held[number] = held.get(number, 0) + size
+        kept = self.cleared | {number for number, size in held.items() if 2 * size > total}
+        out, before = [], 0
+        for parts, tags, path, region in self.lines:
+            text = " ".join("".join(t for t, doubtful in parts if kept.issuperset(doubtful)).split())
+            before += tags
+            if text:
+                out.append((text, max(1, before), path, region))
+                before = 0
+        return out
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag in VOID:
             if tag in ("br", "hr"):
-                self.parts.append(" ")
+                self.parts.append((" ", ()))
             return
         if tag in BLOCKS:
             self.flush()
             if tag == "p" or tag == "li" or tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 self.close_open(tag)
-        out, region = (self.open[-1][2], self.open[-1][3]) if self.open else (False, 0)
+        out, region, doubtful = self.open[-1][2:] if self.open else (False, 0, ())
         self.number += 1
         if not region and tag in REGIONS or region and tag == "article" and self.region_tag(region) == "main":
             region = self.number
-        out = out or tag in NEVER or (tag == "header" and not region) or (tag not in ("html", "body") and bool(attrs) and is_furniture(tag, attrs))
-        self.open.append((tag, self.number, out, region))
+        out = out or tag in NEVER or (tag == "header" and not region) or (tag not in ("html", "body") and bool(attrs) and is_hidden(attrs))
+        if tag in REGIONS:
+            self.cleared.update(doubtful)
+        elif tag == "form" or tag not in ("html", "body") and attrs and is_furniture(attrs):
+            doubtful = (*doubtful, self.number)
+        self.open.append((tag, self.number, out, region, doubtful))
 
     def region_tag(self, number: int) -> str:
-        return next((t for t, n, _, _ in self.open if n == number), "")
+        return next((e[0] for e in self.open if e[1] == number), "")
 
     def close_open(self, tag: str) -> None:
         """A paragraph, item or heading that is still open ends where the next one begins."""
@@ -132,7 +165,7 @@ class Lines(HTMLParser):
 
     def handle_data(self, data):
         if not (self.open and self.open[-1][2]):
-            self.parts.append(data)
+            self.parts.append((data, self.open[-1][4] if self.open else ()))
 
 
 def parse(html: str) -> list[tuple[str, int, tuple, int]]:
@@ -140,7 +173,7 @@ def parse(html: str) -> list[tuple[str, int, tuple, int]]:
     parser.feed(html)
     parser.close()
     parser.flush()
-    return parser.lines
+    return parser.settled()
 
 
 def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:

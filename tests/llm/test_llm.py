@@ -311,6 +311,17 @@ def test_unreadable_declarations_are_text_once():
     assert html_text.main_text(f"<p>{words}<![ x</p>") == words + "<![ x"
 
 
+def test_names_do_not_drop_what_holds_the_article():
+    story = "<h1>Head</h1><p>A paragraph of the article, long enough to be one.<p>Another paragraph of it, of about that length."
+    text = "Head\nA paragraph of the article, long enough to be one.\nAnother paragraph of it, of about that length."
+    extra = '<div class="ad-box">Buy this</div><div class=comments><p>Nice.</div>'
+    for start, end in (
+        ('<div class="content-sidebar-wrap">', "</div>"), ('<div id="page" class="has-sidebar">', "</div>"), ('<div class="no-sidebar">', "</div>"), ("<form action=x>", "</form>"), ('<div class="sidebar-left">', "</div>"),
+        ('<article class="post tag-social">', "</article>"), ('<article class="category-notice tag-search">', "</article>"), ('<form><div class="widget"><main class="search">', "</main></div></form>"),
+    ):
+        assert html_text.main_text(f"<body>{start}{story}{extra}{end}</body>") == text, start
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, None, None, 1), (2, "u", "<p>x</p>", 2), (2, "u", "<p>x</p>", 2)], "page_id long, url string, html string, text int")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect()) == [(1, "", 0), (2, "x", 1), (2, "x", 1)]
