@@ -452,6 +452,14 @@ def test_near_copies_beyond_three_bits(spark):
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, [x for x, c in of.items() if x == c] + [None]))
 
 
+def test_near_copies_are_decided_by_row(spark):
+    words = [f"w{k}" for k in range(100)]
+    copy, other = " ".join([*words[:-1], "end"]), "a clean text of its own under the id that a copy has as well"
+    rows = [(1, " ".join(words), "a"), (2, copy, "a"), (2, other, "a"), (3, "twice the same", "b"), (3, "twice the same", "b"), (None, "twice the same", "b"), (None, "twice the same", "b")]
+    kept = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(map(str, [rows[0], rows[2], rows[3], rows[5], rows[6]]))
+
+
 def test_masks_cover():
     masks = [m % (1 << 64) for m in simhash.covering_masks(3)]
     rng = random.Random(2)
