@@ -51,13 +51,13 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> Dat
     return total.select("source", "source_size", "weight", F.when(F.col("held"), F.col("room").cast("double")).otherwise(shared).alias("target"))
 
 
-def mix_stream(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: str = SEED, payload: tuple = ()) -> DataFrame:
+def mix_stream(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: str = SEED, payload: tuple = (), untaken: bool = True) -> DataFrame:
     """The mix: a row for each document and pass.
 
     Columns: doc_id, source, size, source_size, target, pass, words (taken), virtual_finish, mix_offset (words of the mix
     before it), range_no (interval of virtual time; ordered by range_no and mix_offset, the rows are the mix), row_key
-    (unique for a document), and the payload columns. Rows of pass 0 are there for every document, with words 0 if it
-    isn't taken.
+    (unique for a document), and the payload columns. With `untaken`, rows of pass 0 are there for every document, with
+    words 0 and its range's first offset if it isn't taken.
     """
     bucket_of = F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long")
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("shuffle_key"), *payload)
@@ -86,10 +86,12 @@ def mix_stream(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed
         .withColumn("virtual_finish", F.when(F.col("target") > 0, (F.col("start") + F.col("size")) / F.col("target")).otherwise(F.lit(0.0)))
         .withColumn("range_no", F.least(F.floor(F.col("virtual_finish") * buckets), F.lit(buckets)).cast("long"))
     )
+    queued = queued if untaken else queued.filter("words > 0")
     ranges = queued.groupBy("range_no").agg(F.sum("words").alias("range_words"))
     ranges = ranges.select(F.col("range_no").alias("r_no"), F.coalesce(F.sum("range_words").over(Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("range_start"))
-    in_range = Window.partitionBy("range_no").orderBy("virtual_finish", F.col("source").asc_nulls_last(), "bucket", "row_no", "pass")
-    stream = queued.withColumn("in_range", F.sum("words").over(in_range.rowsBetween(Window.unboundedPreceding, 0))).join(ranges, F.col("range_no") == F.col("r_no"))
+    alone = F.when(F.col("words") == 0, F.xxhash64("source", "bucket", "row_no"))  # what takes nothing is in no range's window
+    in_range = Window.partitionBy("range_no", "alone").orderBy("virtual_finish", F.col("source").asc_nulls_last(), "bucket", "row_no", "pass")
+    stream = queued.withColumn("alone", alone).withColumn("in_range", F.sum("words").over(in_range.rowsBetween(Window.unboundedPreceding, 0))).join(ranges, F.col("range_no") == F.col("r_no"))
     return stream.select(
         "doc_id", "source", "size", "source_size", "target", "pass", "words", "virtual_finish", (F.col("range_start") + F.col("in_range") - F.col("words")).alias("mix_offset"), "range_no",
         F.concat_ws("/", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")), "bucket", "row_no").alias("row_key"), *payload,
@@ -107,7 +109,7 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST,
     """The documents of the mix with their own columns: one row for each pass, the text cut to the words taken."""
     names = docs.columns
     kept = docs.withColumn("_row", F.struct(*[F.col(c) for c in names]))
-    stream = mix_stream(kept, weights, most, seed, payload=("_row",)).filter("words > 0")
+    stream = mix_stream(kept, weights, most, seed, payload=("_row",), untaken=False)
     pieces = F.split(F.col("_row.text"), WORD_ENDS)
     cut = F.array_join(F.slice(pieces, F.lit(1), F.col("words").cast("int")), "")
     text = F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("_row.text"))

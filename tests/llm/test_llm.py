@@ -168,6 +168,16 @@ def test_mix_stream_is_in_order_of_virtual_finish(spark):
     assert finish == sorted(finish)
 
 
+def test_untaken_rows_are_in_no_window(spark):
+    rows = mixing.mix_stream(documents(spark)).collect()
+    firsts = {}
+    for r in rows:
+        firsts.setdefault(r.range_no, set()).add(r.mix_offset if r.words == 0 else None)
+    assert any(not r.words for r in rows) and all(len(x - {None}) <= 1 for x in firsts.values())
+    taken = mixing.mix_stream(documents(spark), untaken=False).collect()
+    assert sorted(str((r.row_key, r["pass"], r.words, r.mix_offset)) for r in taken) == sorted(str((r.row_key, r["pass"], r.words, r.mix_offset)) for r in rows if r.words)
+
+
 def test_mixed_documents_are_cut_to_the_words_taken(spark, docs):
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns
