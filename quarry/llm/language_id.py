@@ -156,7 +156,8 @@ def reject_unidentified(docs: DataFrame, below: float = REJECT_BELOW) -> DataFra
         for b in batches:
             yield b.filter(pa.array([profiles.predict(x.as_py())[1] >= below for x in b.column(at)], pa.bool_()))
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(names))])  # names may hold dots
+    return numbered.mapInArrow(run, numbered.schema).toDF(*names)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, materialised, table
+from .common import batch, materialised, quoted, table
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The documents, with their own columns, of which each component keeps the one with the smallest id."""
     gone = near_duplicates(docs, shingle, radius).filter("component_id < doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, table
+from .common import WORD, quoted, table
 
 WIDTH, GRAM = 50, 24
 LEFT = WIDTH - GRAM
@@ -431,10 +431,9 @@ def cut_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     block = min(BLOCK_BYTES[1], max(BLOCK_BYTES[0], size["b"] // 200))
     n_blocks, n_ranges = max(1, -(-size["b"] // block)), max(LEAST_RANGES, -(-size["b"] // RANGE_BYTES))
     plan = Plan(n_ranges, min(64, max(40, size["b"].bit_length() + 14)), splitters(docs, size["n"], n_ranges), with_text)
-    dealt = docs.withColumn("_bytes", F.col("text").cast("binary")).withColumn("_block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n_blocks)).cast("int"))
     dealt = docs.select(
         F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n_blocks)).cast("int").alias("_block"), F.col("text").cast("binary").alias("_bytes"), "doc_id",
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_rest"),
+        F.struct(*[F.col(quoted(c)) for c in docs.columns if c != "text"]).alias("_rest"),
     )
     by_block = dealt.groupBy("_block")
     grams = by_block.applyInArrow(lambda key, t: plan.send_grams(key, t), MESSAGE_DDL)

@@ -1,10 +1,11 @@
 """The ten operators and the pipeline against brute force, and their edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, namedtuple
 
 import numpy as np
 import public_tokenizers
@@ -19,8 +20,9 @@ from quarry.llm.components import components
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+Document = namedtuple("Document", "doc_id source text")
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-EXTRA = ["words", "size", "fp", "node", "_rest", "_row", "bucket", "label", "_block"]
+EXTRA = ["words", "size", "fp", "node", "_rest", "_row", "bucket", "label", "_block", "_doc", "_first", "component_id", "virtual_finish", "target"]
 
 
 def documents(spark):
@@ -36,7 +38,7 @@ def awkward(spark):
         (8, "wort " * 40000 + passage, "de", "c", 200000), (9, "Привет, мир ελληνικά 日本語", None, "c", 0), (10, "naïve café é è " + passage + "é", "fr", "d", 0), (11, "x", "en", "d", 1), (11, "y", "en", "d", 1),
     ]
     df = spark.createDataFrame(rows, DOCS)
-    return df.withColumns({c: F.lit(k) for k, c in enumerate(EXTRA)})
+    return df.withColumns({c: F.lit(k) for k, c in enumerate(EXTRA)}).withColumn("a.b", F.lit("dotted")).withColumn("tick`", F.lit(1))
 
 
 def tables(spark):
@@ -138,6 +140,29 @@ def plain_targets(sizes, weights=(5, 2, 1), most=3):
     return target
 
 
+def stream_of(docs):
+    rows, buckets = mixing.numbered(docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("_row")))
+    return mixing.mix_stream(rows, buckets=buckets).collect()
+
+
+def plain_queue(rows, target):
+    """(finish, source's place, words, doc_id) of all packets in the order of virtual finish."""
+    names = sorted((s for s in target if s is not None), key=lambda s: s.encode()) + ([None] if None in target else [])
+    queue = []
+    for place, source in enumerate(names):
+        own = [r for r in rows if r.source == source]
+        own.sort(key=lambda r: (hashlib.md5(f"mix:{'' if r.doc_id is None else r.doc_id}".encode()).hexdigest(), r.doc_id is not None, r.doc_id or 0, len(plain_words(r.text))))
+        at, size, served = 0, sum(len(plain_words(r.text)) for r in own), math.floor(target[source])
+        for turn in range(3):
+            for r in own:
+                start, at = at, at + len(plain_words(r.text))
+                if turn == 0 or start < at and start < target[source]:
+                    ends = [served, at] if start < served < at else [at]
+                    for a, b in zip([start, *ends], ends):
+                        queue.append((b / target[source] if target[source] else 0.0, place, a, b - a, str(r.doc_id)))
+    return sorted(queue)
+
+
 def test_mix_against_plain(spark, docs):
     rows = docs.collect()
     sizes = Counter()
@@ -146,43 +171,56 @@ def test_mix_against_plain(spark, docs):
     target = plain_targets(sizes) if rows else {}
     found = mixing.mix(docs).collect()
     assert sorted((str(r.doc_id), r.size) for r in found) == sorted((str(r.doc_id), len(plain_words(r.text))) for r in rows)
-    by_source = {r.source: r for r in mixing.mix_stream(docs).collect()}
-    for source, r in by_source.items():
-        assert r.source_size == sizes[source] and r.target == pytest.approx(target[source])
+    assert all(r.source_size == sizes[r.source] and r.target == pytest.approx(target[r.source]) for r in found)
     assert all(0 <= r.taken <= 3 * r.size for r in found)
-    taken = Counter()
-    for r in mixing.mix_stream(docs).collect():
-        taken[r.source] += r.words
-    assert all(abs(taken[s] - target[s]) < 1 for s in target)
+    taken, budget, at = Counter(), sum(sizes.values()), 0
+    for _, _, _, words, key in plain_queue(rows, target):
+        taken[key] += max(0, min(words, budget - at))
+        at += words
+    by_id = Counter()
+    for r in found:
+        by_id[str(r.doc_id)] += r.taken
+    assert +by_id == +taken and sum(by_id.values()) == budget
+    by_source = Counter()
+    for r in found:
+        by_source[r.source] += r.taken
+    assert all(abs(by_source[s] - target[s]) <= len(target) for s in target)
     assert sorted(map(str, mixing.mix(docs.repartition(3)).collect())) == sorted(map(str, found))
 
 
-def test_mix_stream_is_in_order_of_virtual_finish(spark):
-    rows = sorted(mixing.mix_stream(documents(spark)).collect(), key=lambda r: (r.range_no, r.mix_offset))
-    at = 0
+def test_mix_takes_the_prefix_by_virtual_finish(spark):
+    rows = sorted((r for r in stream_of(documents(spark)) if r.size_to > r.size_from), key=lambda r: (r.range_no, r.mix_offset))
+    at, budget = 0, sum(len(plain_words(r.text)) for r in documents(spark).collect())
     for r in rows:
-        if r.words:
-            assert r.mix_offset == at
-            at += r.words
-    finish = [r.virtual_finish for r in rows if r.words]
-    assert finish == sorted(finish)
+        size = r.size_to - r.size_from
+        assert r.mix_offset == at and r.words == max(0, min(size, budget - at))
+        at += size
+    finish = [r.virtual_finish for r in rows]
+    assert finish == sorted(finish) and any(not r.words for r in rows)
+    plan = mixing.op2(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "virtual_finish" in plan and "range_no" in plan and "mix_offset" in plan
 
 
-def test_untaken_rows_are_in_no_window(spark):
-    rows = mixing.mix_stream(documents(spark)).collect()
-    firsts = {}
-    for r in rows:
-        firsts.setdefault(r.range_no, set()).add(r.mix_offset if r.words == 0 else None)
-    assert any(not r.words for r in rows) and all(len(x - {None}) <= 1 for x in firsts.values())
-    taken = mixing.mix_stream(documents(spark), untaken=False).collect()
-    assert sorted(str((r.row_key, r["pass"], r.words, r.mix_offset)) for r in taken) == sorted(str((r.row_key, r["pass"], r.words, r.mix_offset)) for r in rows if r.words)
+def test_empty_documents_are_in_no_window(spark):
+    df = spark.createDataFrame([(k, None if k % 2 else "a b c", "s") for k in range(200)], "doc_id long, text string, source string")
+    found = mixing.mix(df).collect()
+    assert sum(r.taken for r in found) == 300 and all(r.taken == 0 for r in found if not r.size)
+
+
+def test_reruns_agree_where_ids_repeat(spark):
+    rows = [(k % 7, f"{chr(97 + k % 5)} text of {k}", "ab"[k % 2]) for k in range(60)]
+    schema, runs = "doc_id long, text string, source string", []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        runs.append(sorted(map(str, mixing.mixed_documents(spark.createDataFrame(rows, schema).repartition(3 + seed)).collect())))
+    assert runs[0] == runs[1]
 
 
 def test_mixed_documents_are_cut_to_the_words_taken(spark, docs):
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns
     total = sum(len(plain_words(r.text)) for r in mixed.collect())
-    assert total == sum(r.words for r in mixing.mix_stream(docs).collect())
+    assert total == sum(r.words for r in stream_of(docs))
     whole = {r.text for r in docs.collect()}
     assert all(r.text in whole or any((w or "").startswith(r.text) for w in whole) for r in mixed.collect())
 
@@ -561,9 +599,8 @@ def test_pipeline_against_plain(spark, tmp_path):
     documents(spark).limit(120).write.parquet(str(tmp_path / "documents.parquet"))
     rows = spark.read.parquet(str(tmp_path / "documents.parquet")).collect()
     rows = [r for r in rows if any(c.isalpha() for c in r.text or "")]
-    fps = {r.doc_id: plain_fingerprint(r.text) for r in rows}
-    ids = sorted(fps)
-    of = plain_components(ids, [(a, b) for a in ids for b in ids if b < a and (fps[a] ^ fps[b]).bit_count() <= 3])
+    sets = {r.doc_id: plain_shingles(r.text) for r in rows}
+    of = plain_components(sets, [(a, b) for a in sets for b in sets if b < a and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])])
     rows = [r for r in rows if of[r.doc_id] == r.doc_id]
     seen, texts = {}, {}
     for r in sorted(rows, key=lambda r: r.doc_id):
@@ -581,17 +618,17 @@ def test_pipeline_against_plain(spark, tmp_path):
     for source, text in texts.values():
         sizes[source] += len(plain_words(text))
     target = plain_targets(sizes)
-    tokenizer, expected = Tokenizer.from_file(TOKENIZER), Counter()
-    for source in sizes:
-        own, at = sorted((hashlib.md5(f"mix:{d}".encode()).hexdigest(), d) for d, (s, _) in texts.items() if s == source), 0
-        for turn in range(3):
-            for _, d in own:
-                words = len(plain_words(texts[d][1]))
-                take = max(0, min(words, int(target[source]) - at))
-                at += words
-                if take:
-                    cut = texts[d][1] if take == words else re.match(r"(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){%d}" % take, texts[d][1])[0]
-                    expected[d] += len(tokenizer.encode(cut, add_special_tokens=False).ids) + 1
+    tokenizer, expected, taken, at = Tokenizer.from_file(TOKENIZER), Counter(), Counter(), 0
+    mixed = [Document(d, source, text) for d, (source, text) in texts.items()]
+    for _, place, end, words, key in plain_queue(mixed, target):
+        text = texts[int(key)][1]
+        size = sizes[texts[int(key)][0]]
+        taken[int(key), (end - words) // size] += max(0, min(words, sum(sizes.values()) - at))
+        at += words
+    for (d, _), take in (+taken).items():
+        text = texts[d][1]
+        cut = text if take == len(plain_words(text)) else re.match(r"(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){%d}" % take, text)[0]
+        expected[d] += len(tokenizer.encode(cut, add_special_tokens=False).ids) + 1
     found = Counter()
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
         found[r.doc_id] += r.length
