@@ -15,6 +15,7 @@ rows are predicted each for itself.
 
 from __future__ import annotations
 
+import functools
 import sys
 from collections.abc import Iterable, Iterator
 
@@ -36,11 +37,10 @@ PREDICTED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_
 COUNTS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
 
+@functools.cache
 def letters() -> np.ndarray:
     """For each code point whether it is a letter; made once for a worker process."""
-    if "_language_letters" not in sys.__dict__:
-        sys.__dict__["_language_letters"] = np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
-    return sys.__dict__["_language_letters"]
+    return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
 
 
 def summed(codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -5,15 +5,15 @@ of more than one window gives full windows at once; its rest joins a pool. A win
 minimum bin slack: the oldest piece is fixed, and a bitset of reachable sums, one Python integer per distinct length
 and copy count, tells which multiset of the other lengths comes closest to the capacity; the counts are found again by
 walking the bitsets backwards. What is left at a task's end is cut into windows of powers of two, which need no
-padding. Memory is bounded by the pool, whatever the size of a partition.
+padding. Memory is bounded by the pool: POOL pieces, or as many as two windows' tokens (each has one at least).
 
 Nulls and empty texts give one piece that holds only the end id. Repeated rows are packed each for itself.
 """
 
 from __future__ import annotations
 
+import functools
 import re
-import sys
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterable, Iterator
@@ -30,6 +30,7 @@ CAPACITY, END_ID, POOL, CACHED_WORDS = 4096, 2, 384, 400_000
 LOCAL_BITS = 36
 #: White space to Python but not to the tokenizer, and chunks between what is white space to the tokenizer.
 NOT_SPACE, CHUNKS = re.compile(r"[\x1c-\x1f]"), re.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+LETTERS_AND_STOP = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+[,.]")
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 PIECES_WITH_IDS = PIECES.append(pa.field("ids", pa.list_(pa.int32())))
@@ -50,7 +51,7 @@ class WordIds(dict):
     def __missing__(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
-            if len(chunk) > 1 and chunk[-1] in ",." and chunk[:-1].isalpha():  # letters and marks are never one token
+            if LETTERS_AND_STOP.fullmatch(chunk):  # these letters and a stop are never one token, and stay letters in lower case
                 return self[chunk[:-1]] + self[chunk[-1]]
             ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(self) >= self.most:
@@ -61,22 +62,21 @@ class WordIds(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        try:
-            text.encode("latin-1")
-            text = text.lower()  # the vocabulary is lower case; in this range letter by letter
-        except UnicodeEncodeError:
-            pass
+        if "<|" not in text:  # a special token's name counts only as it is written
+            try:
+                text.encode("latin-1")
+                text = text.lower()  # the vocabulary is lower case; in this range letter by letter
+            except UnicodeEncodeError:
+                pass
         return b"".join([self[chunk] for chunk in (CHUNKS.findall(text) if NOT_SPACE.search(text) else text.split())])
 
 
+@functools.cache
 def word_ids(path: str) -> WordIds:
     """One per worker process, kept between its tasks."""
-    kept = sys.__dict__.setdefault("_packing_word_ids", {})
-    if path not in kept:
-        from tokenizers import Tokenizer
+    from tokenizers import Tokenizer
 
-        kept[path] = WordIds(Tokenizer.from_file(path))
-    return kept[path]
+    return WordIds(Tokenizer.from_file(path))
 
 
 def fill(first: int, available: dict[int, int], capacity: int) -> list[int]:
@@ -122,8 +122,6 @@ class Packer:
             self.held, self.tokens = self.held + 1, self.tokens + n - cut
         while self.held >= self.most and self.tokens >= 2 * self.capacity:
             yield self.window()
-        if self.held >= 64 * self.most:  # very many very short pieces: what there is fits a window with room to spare
-            yield from self.rest()
 
     def take(self, length: int) -> tuple:
         queue = self.waiting[length]

@@ -336,6 +336,26 @@ def test_chunks_keep_control_characters():
         assert np.frombuffer(ids_of.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_random_texts_are_the_tokenizer_s():
+    tokenizer, ids_of, rng = Tokenizer.from_file(TOKENIZER), packing.WordIds(Tokenizer.from_file(TOKENIZER), most=5000), random.Random(11)
+    pool = list("abzAZ09,.'!-_ßÿÀÉéµªº×÷İıΣςσǅŉﬁЖжйЙ日本한กَ่") + ["\u0301", "\u0307", "\u0338", "\u030a", "A\u030a", "=", " ", " ", "\t", "\n", "\r\n", "'s", "'LL", "'re", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>"]
+    pool += [chr(c) for c in (*range(0x1C, 0x20), 0, 0x7F, 0x85, 0xA0, 0xAD, 0x180E, 0x1680, 0x2000, 0x2001, 0x200B, 0x2028, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF, 0x1F600, 0xE0100, 0x1D7D8, 0x10FFFF, 0xFFFD)]
+    texts = ["".join(rng.choices(pool, k=rng.randint(1, 12))) for _ in range(60_000)]
+    texts += ["".join(chr(rng.choice((rng.randrange(0x20, 0x250), rng.randrange(0x250, 0xD800), rng.randrange(0xE000, 0x30000)))) for _ in range(rng.randint(1, 12))) for _ in range(60_000)]
+    wrong = [t for t, e in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False)) if np.frombuffer(ids_of.encode(t), "<u4").tolist() != e.ids]
+    assert not wrong
+
+
+def test_very_many_short_pieces_are_packed_by_slack():
+    packer, windows = packing.Packer(64, 8), []
+    for key in range(5000):
+        windows += packer.add(key, np.ones(1 + key % 2, dtype="<u4"))
+        assert packer.held <= 2 * 64
+    windows += packer.rest()
+    sizes = [sum(len(p[2]) for p in w) for w in windows]
+    assert sum(sizes) == 7500 and set(sizes[:-10]) == {64}
+
+
 # 6. HTML
 
 
