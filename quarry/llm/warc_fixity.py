@@ -7,9 +7,10 @@ differ are compared, so what it reads grows with the damage and the height of th
 
 The inventory (an archive's own records, their files and offsets) places records; a replica's record takes the place
 of its key there and is missing where it has none; records of the replica that the inventory lacks are extra. Bytes are
-hashed where they are read; only digests are shuffled. A file holds a range of FILE_RECORDS ids, so no task gets more.
+hashed where they are read; only digests are shuffled. A file holds a range of FILE_RECORDS ids. Places are numbered without
+gaps, so a tree has a FANOUTth of a level's nodes in the next, however ids are spread.
 
-Ids may be null (they share a file); null urls and pages are empty. Rows that repeat id and url are told apart by their
+Ids may be any long or null (those share a file); null urls and pages are empty. Rows that repeat id and url are told apart by their
 order of digests, so n copies against n-1 give one missing record. Empty archives agree.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import materialised, table
 
-FANOUT, FILE_RECORDS, SLOTS = 64, 1000, 4096
+FANOUT, FILE_RECORDS = 64, 1000
 RECORD = "path string, offset long, length long, type string, uri string, record_id string, payload binary"
 
 
@@ -39,23 +40,42 @@ def record_bytes(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """page_id, url, copy, file_no, length, digest: narrow, ordered by what comes with the record."""
+    """page_id, url, file_no, length, digest: narrow rows."""
     body = record_bytes(F.col("page_id"), F.col("url"), F.col("html"))
-    r = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.when(F.col("page_id").isNull(), 0).otherwise(F.floor(F.col("page_id") / FILE_RECORDS) + 1).cast("long").alias("file_no"), F.octet_length(body).cast("long").alias("length"), F.sha2(body.cast("binary"), 256).alias("digest"))
-    return r.withColumn("copy", F.row_number().over(Window.partitionBy("file_no", "page_id", "url").orderBy("digest")))
+    file_no = F.when(F.col("page_id").isNull(), 0).otherwise(F.expr(f"page_id div {FILE_RECORDS} + if(page_id % {FILE_RECORDS} < 0, 0, 1)"))  # whole numbers: no id is too large
+    return pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), file_no.cast("long").alias("file_no"), F.octet_length(body).cast("long").alias("length"), F.sha2(body.cast("binary"), 256).alias("digest"))
 
 
 def inventory(own: DataFrame) -> DataFrame:
-    """Places records: adds slot (in its file) and record_offset. own: records()."""
-    order = Window.partitionBy("file_no").orderBy("page_id", "url", "copy")
-    placed = own.withColumn("place", F.row_number().over(order) - 1).withColumn("record_offset", F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
-    # files have room for SLOTS records; one with more goes on in slots of its own, far from the next file's
-    return placed.withColumn("slot", F.col("file_no") * SLOTS + F.pmod("place", F.lit(SLOTS)) + F.floor(F.col("place") / SLOTS) * (1 << 40))
+    """Places records(): adds slot (their number in the archive, from 0), record_offset (in their file) and copy (number of one id and url, from 1).
+
+    The rows are range-partitioned and numbered within partitions; a file or name that goes on in the next partition takes
+    along what it has so far, from one row for each partition. So neither a large file nor many copies are one task.
+    """
+    order = ("file_no", "page_id", "url", "digest", "salt")
+    ranged = materialised(own.withColumn("salt", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    in_part, in_file, in_name = (Window.partitionBy("part", *order[:k]).orderBy(*order[k:]) for k in (0, 1, 3))
+    local = ranged.withColumn("no", F.row_number().over(in_part)).withColumn("through", F.sum("length").over(in_file.rowsBetween(Window.unboundedPreceding, 0))).withColumn("copy", F.row_number().over(in_name))
+    ends = local.groupBy("part").agg(F.max("no").alias("n"), F.min_by(F.struct("file_no", "page_id", "url"), "no").alias("first"), F.max_by(F.struct("file_no", "page_id", "url", "through", "copy"), "no").alias("last"))
+    carried, rows, file, name, through, copies = [], 0, None, None, 0, 0
+    for e in sorted(ends.collect(), key=lambda e: e["part"]):  # a row for each partition
+        first, last = tuple(e["first"]), tuple(e["last"])
+        through, copies = through if file == first[0] else 0, copies if name == first else 0
+        carried.append((e["part"], rows, *first, through, copies))
+        rows, file, name = rows + e["n"], last[0], last[:3]
+        through, copies = last[3] + (through if first[0] == file else 0), last[4] + (copies if first == name else 0)
+    before = own.sparkSession.createDataFrame(carried, "b_part int, b_rows long, b_file long, b_id long, b_url string, b_through long, b_copies int")
+    same_file = F.col("file_no") == F.col("b_file")
+    same_name = same_file & F.col("page_id").eqNullSafe(F.col("b_id")) & (F.col("url") == F.col("b_url"))
+    return local.join(before, F.col("part") == F.col("b_part")).select(
+        "page_id", "url", "file_no", "length", "digest", (F.col("b_rows") + F.col("no") - 1).alias("slot"),
+        (F.col("through") - F.col("length") + F.when(same_file, F.col("b_through")).otherwise(0)).alias("record_offset"), (F.col("copy") + F.when(same_name, F.col("b_copies")).otherwise(0)).alias("copy"),
+    )
 
 
 def leaves(places: DataFrame, replica: DataFrame) -> DataFrame:
     """slot, digest of a replica's records at the inventory's places."""
-    mine, theirs = places.select("file_no", F.col("page_id").alias("p_id"), F.col("url").alias("p_url"), F.col("copy").alias("p_copy"), "slot", "record_offset"), replica.withColumnRenamed("file_no", "r_file")
+    mine, theirs = places.select("file_no", F.col("page_id").alias("p_id"), F.col("url").alias("p_url"), F.col("copy").alias("p_copy"), "slot", "record_offset"), replica.drop("slot", "record_offset").withColumnRenamed("file_no", "r_file")
     on = (F.col("file_no") == F.col("r_file")) & F.col("p_id").eqNullSafe(F.col("page_id")) & (F.col("p_url") == F.col("url")) & (F.col("p_copy") == F.col("copy"))
     return mine.join(theirs, on).select("slot", node_digest(F.concat_ws(":", F.col("record_offset").cast("string"), F.col("length").cast("string"), "digest"), "leaf"))
 
@@ -67,11 +87,10 @@ def node_digest(content: Column, kind: str) -> Column:
 
 def height(places: DataFrame) -> int:
     """Levels above the leaves until one node holds all places."""
-    most = places.agg(F.max(F.greatest(F.abs("slot"), F.lit(1)))).first()[0] or 1
-    n = 1
-    while FANOUT**n <= most:
+    most, n = places.count(), 1
+    while FANOUT**n < most:
         n += 1
-    return n + 1  # negative places have a branch of their own
+    return n
 
 
 def tree(leaf_rows: DataFrame, levels: int) -> DataFrame:
@@ -112,7 +131,7 @@ def audit(archive: DataFrame, replica: DataFrame) -> DataFrame:
     archive, replica: page_id, url, html. Offsets and lengths are the archive's, null for extra records.
     """
     places = materialised(inventory(records(archive)))
-    theirs = materialised(records(replica))
+    theirs = materialised(inventory(records(replica)))
     levels = height(places)
     mine = places.select("slot", node_digest(F.concat_ws(":", F.col("record_offset").cast("string"), F.col("length").cast("string"), "digest"), "leaf"))
     found = descend(tree(mine, levels), tree(leaves(places, theirs), levels), levels)

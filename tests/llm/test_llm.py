@@ -659,7 +659,7 @@ def test_pipeline_against_plain(spark, tmp_path):
 
 
 def archive(spark):
-    rows = [(k, f"https://h{k % 7}.example/{k}", f"<p>{'x' * (k % 50)}é {k}</p>", 0) for k in range(-5, 2400, 3)] + [(None, None, None, 1), (None, "u", "v", 1), (9, "https://same", "a", 1), (9, "https://same", "a", 1), (9, "https://same", "b", 1)]
+    rows = [(k, f"https://h{k % 7}.example/{k}", f"<p>{'x' * (k % 50)}é {k}</p>", 0) for k in (*range(-5, 2400, 3), (1 << 62) + 5, -(1 << 62), (1 << 63) - 1, -(1 << 63), (1 << 53) + 1)] + [(None, None, None, 1), (None, "u", "v", 1), (9, "https://same", "a", 1), (9, "https://same", "a", 1), (9, "https://same", "b", 1)]
     return spark.createDataFrame(rows, "page_id long, url string, html string, slot int")
 
 
@@ -687,6 +687,25 @@ def test_audit_finds_all_damage(spark):
     assert all((r.record_offset is None) == (r.state == "extra") for r in found)
 
 
+def test_inventory_against_plain(spark):
+    """Many copies and one large file, over several partitions."""
+    rows = [(k % 40, f"u{k % 3}", "x" * (k % 11)) for k in range(400)] + [(None, "same", "y")] * 500 + [(-7 * k, "u", "z") for k in range(1, 300)]
+    own = spark.createDataFrame(random.Random(4).sample(rows, len(rows)), "page_id long, url string, html string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = sorted(warc_fixity.inventory(warc_fixity.records(own)).collect(), key=lambda r: r.slot)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r.slot for r in found] == list(range(len(rows)))
+    key = lambda r: (r.file_no, r.page_id is not None, r.page_id or 0, r.url, r.digest)
+    assert [key(r) for r in found] == sorted(key(r) for r in found)
+    offsets, copies = Counter(), Counter()
+    for r in found:
+        copies[r.page_id, r.url] += 1
+        assert r.file_no == (0 if r.page_id is None else r.page_id // 1000 + 1) and r.record_offset == offsets[r.file_no] and r.copy == copies[r.page_id, r.url]
+        offsets[r.file_no] += r.length
+
+
 def test_audit_of_equal_and_empty_archives(spark):
     own = archive(spark)
     assert warc_fixity.audit(own, own.repartition(3)).count() == 0
