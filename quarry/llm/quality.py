@@ -5,15 +5,16 @@ Base figures of a text: words (runs of other than the six kinds of white space),
 or more. A text of fewer than MIN_WORDS words, or with more than 30 repeated words in 100, fails.
 
 Line frequency: a line with a word is normalised (A-Z lower-cased, digit runs to 0, white space to one space, trimmed)
-and hashed; for each host (the `source` column) the documents that hold it are counted. A line that more than
-max(MIN_DOCUMENTS, SHARE of the host's documents) of the host's documents hold is taken out. A document is depleted, and
+and hashed; for each host (the `source` column) the documents (distinct ids) that hold it are counted. A line that more
+than max(MIN_DOCUMENTS, SHARE of the host's documents) of the host's documents hold is taken out. A document is depleted, and
 not kept, if fewer than MIN_LEFT words or fewer than LEFT_SHARE of its words are left.
 
-Counts are summed map-side before they are shuffled, so a line that a third of all documents hold costs a row for
-each task. Frequent lines meet the documents' lines under SALTS salts.
+Ids are told apart before they are counted, by line, host and id, so a line that a third of all documents hold is spread
+over the tasks. Frequent lines of many rows (HOT_ROWS, or a HOT_LINES-th of all lines if that is more, so HOT_LINES of
+them at most) are broadcast to the documents' lines; for the others, no key has more rows than that.
 
-Null and empty texts have no words and fail. Each row counts as a document; rows that repeat an id, text and source
-get the same result. Null sources are one host. Null ids are allowed.
+Null and empty texts have no words and fail. Rows that repeat an id are one document where lines are counted, and are
+judged each for itself. Null sources are one host. Rows without an id are judged, but count as no document.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .common import materialised, table
 
 SPACE = r"[\x20\x09-\x0D]"
 WINDOW, MIN_WORDS, REPEATED_PERCENT = 8, 20, 30
-MIN_DOCUMENTS, SHARE, MIN_LEFT, LEFT_SHARE, SALTS = 20, 0.01, 10, 0.3, 16
+MIN_DOCUMENTS, SHARE, MIN_LEFT, LEFT_SHARE, HOT_ROWS, HOT_LINES = 20, 0.01, 10, 0.3, 1000, 100_000
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -59,11 +60,11 @@ def normalised(line: Column) -> Column:
 
 
 def frequent_lines(lines: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
-    """host, h, documents: the lines above the host's limit."""
-    hosts = lines.groupBy("host").agg(F.count(F.lit(1)).alias("host_documents")).withColumnRenamed("host", "a_host")
+    """host, h, documents, rows (that hold it): the lines above the host's limit."""
+    hosts = lines.groupBy("host").agg(F.count_distinct("doc_id").alias("host_documents")).withColumnRenamed("host", "a_host")
     own = F.array_distinct(F.transform("lines", lambda x: x["h"]))
-    counts = lines.select("host", F.explode(own).alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") > min_documents)
-    return counts.join(hosts, F.col("host").eqNullSafe(F.col("a_host"))).filter(F.col("documents") > F.col("host_documents") * share).select("host", "h", "documents")
+    counts = lines.select("host", "doc_id", F.explode(own).alias("h")).groupBy("host", "h").agg(F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("rows")).filter(F.col("documents") > min_documents)
+    return counts.join(hosts, F.col("host").eqNullSafe(F.col("a_host"))).filter(F.col("documents") > F.col("host_documents") * share).select("host", "h", "documents", "rows")
 
 
 def text_figures(docs: DataFrame) -> DataFrame:
@@ -85,10 +86,14 @@ def assess(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = S
     figures = materialised(text_figures(docs))  # one pass over the texts; what follows is narrow
     found = figures.select("doc_id", "text_hash", "host", "lines")
     base = figures.drop("lines")
-    salted = frequent_lines(found, min_documents, share).select(F.col("host").alias("f_host"), F.col("h").alias("f_h"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("f_salt"))
+    n_lines = figures.agg(F.sum(F.size("lines"))).first()[0] or 0
+    frequent = materialised(frequent_lines(found, min_documents, share).select(F.col("host").alias("f_host"), F.col("h").alias("f_h"), (F.col("rows") > max(HOT_ROWS, n_lines // HOT_LINES)).alias("hot")))
     copies = found.withColumn("copy", F.monotonically_increasing_id())  # a step before the explode, which would number lines
-    rows = copies.select("doc_id", "text_hash", "host", "copy", F.explode("lines").alias("line")).select("doc_id", "text_hash", "host", "copy", "line.h", "line.w", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int").alias("salt"))
-    hit = rows.join(salted, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("h") == F.col("f_h")) & (F.col("salt") == F.col("f_salt")))
+    rows = copies.select("doc_id", "text_hash", "host", "copy", F.explode("lines").alias("line")).select("doc_id", "text_hash", "host", "copy", "line.h", "line.w")
+    same = F.col("host").eqNullSafe(F.col("f_host")) & (F.col("h") == F.col("f_h"))
+    marked = rows.join(F.broadcast(frequent.filter("hot")), same, "left")
+    names = ("doc_id", "text_hash", "host", "copy", "h", "w")
+    hit = marked.filter("hot").select(*names).unionByName(marked.filter("hot is null").select(*names).join(frequent.filter("not hot"), same).select(*names))
     # rows that repeat an id, text and source would each add their lines to all of them
     removed = hit.groupBy("doc_id", "text_hash", "host", "copy").agg(F.sum("w").alias("words_removed"))
     removed = removed.groupBy("doc_id", "text_hash", "host").agg(F.max("words_removed").alias("words_removed"))
@@ -108,31 +113,31 @@ def op7(spark, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = r"""
-WITH d AS (
-  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
 ), w AS (
-  SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM d WHERE len(words) >= 8)
+  SELECT r, i, array_to_string(words[i:i + 7], ' ') AS win FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM d WHERE len(words) >= 8)
 ), twice AS (
-  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS n FROM w) WHERE n > 1
+  SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, win) AS n FROM w) WHERE n > 1
 ), rep AS (
-  SELECT doc_id, sum(least(8, coalesce(nxt - i, 8))) AS n_repeat_words FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM twice) GROUP BY doc_id
+  SELECT r, sum(least(8, coalesce(nxt - i, 8))) AS n_repeat_words FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM twice) GROUP BY r
 ), lines AS (
-  SELECT doc_id, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+  SELECT r, doc_id, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
          trim(regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm
-  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+  FROM (SELECT r, doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), dup AS (
-  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY doc_id
+  SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY r
 ), hosts AS (
-  SELECT source, count(*) AS docs FROM d GROUP BY source
+  SELECT source, count(DISTINCT doc_id) AS docs FROM d GROUP BY source
 ), frequent AS (
   SELECT l.source, norm FROM (SELECT source, norm, count(DISTINCT doc_id) AS n FROM lines GROUP BY source, norm) l
   JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source WHERE n > 20 AND n > docs * 0.01
 ), gone AS (
-  SELECT doc_id, sum(n) AS removed FROM lines l JOIN frequent f ON l.norm = f.norm AND l.source IS NOT DISTINCT FROM f.source GROUP BY doc_id
+  SELECT r, sum(n) AS removed FROM lines l JOIN frequent f ON l.norm = f.norm AND l.source IS NOT DISTINCT FROM f.source GROUP BY r
 ), base AS (
   SELECT d.doc_id, len(words) AS n_words, len(array_to_string(words, '')) AS word_chars, len(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
          coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed, 0) AS removed
-  FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN gone USING (doc_id)
+  FROM d LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN gone USING (r)
 ), judged AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base
 )
