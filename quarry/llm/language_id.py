@@ -6,8 +6,8 @@ first PROFILE_SIZE make its profile. A language's profile is that of its labelle
 the language with the least out-of-place distance, the sum over the text's profile of the differences of ranks, with
 PROFILE_SIZE for an n-gram that the language's profile lacks; equal distances go to the smaller name.
 
-Profiles are learned from a sample of the labelled rows that is bounded by SAMPLE_PER_LANGUAGE (by a hash of the id) and
-from the MAX_LANGUAGES most frequent labels, so the model is of bounded size. Texts are predicted whole.
+Profiles are learned from a sample of the labelled rows that is bounded by SAMPLE_PER_LANGUAGE (by a hash of the id). Every
+label has a profile, so the model is PROFILE_SIZE n-grams for each. Texts are predicted whole.
 
 A null text or one without a letter gives `und` and score 0, as does everything if there is no labelled row. Repeated
 rows are predicted each for itself.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import batch, held_out, table
 
-PROFILE_SIZE, MAX_N, SAMPLE_PER_LANGUAGE, MAX_LANGUAGES = 300, 3, 3000, 256
+PROFILE_SIZE, SAMPLE_PER_LANGUAGE = 300, 3000
 UNKNOWN = "und"
 #: Characters looked at together; longer texts are counted in parts.
 PART = 1 << 19
@@ -95,23 +95,26 @@ def count_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 class Profiles:
-    """The learned profiles: language names and, for each n-gram of any of them, its rank in each."""
+    """The learned profiles: language names and, for each n-gram of any of them, the languages that have it and its rank in each."""
 
     def __init__(self, by_language: dict[str, list[int]], most: int = PROFILE_SIZE):
         self.names, self.most = sorted(by_language), most
-        self.codes = np.unique(np.array([g for p in by_language.values() for g in p], dtype=np.int64))
-        self.ranks = np.full((len(self.codes) + 1, len(self.names)), most, dtype=np.int64)  # the last row: in no profile
-        for k, name in enumerate(self.names):
-            self.ranks[np.searchsorted(self.codes, np.array(by_language[name], dtype=np.int64)), k] = np.arange(len(by_language[name]))
+        own = [np.array(by_language[name], dtype=np.int64) for name in self.names]
+        codes, langs, ranks = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (own, [np.full(len(p), k) for k, p in enumerate(own)], [np.arange(len(p)) for p in own]))
+        order = np.argsort(codes, kind="stable")
+        self.codes, starts = np.unique(codes[order], return_index=True)
+        self.starts, self.langs, self.ranks = np.append(starts, len(codes)), langs[order], ranks[order]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         own = ranked(*grams(text), self.most)
-        if not len(own) or not self.names:
+        if not len(own) or not len(self.codes):
             return UNKNOWN, 0.0
-        at = np.searchsorted(self.codes, own)
-        at[self.codes[np.minimum(at, len(self.codes) - 1)] != own] = len(self.codes)
-        ranks = self.ranks[at]
-        off = np.where(ranks == self.most, self.most, np.abs(ranks - np.arange(len(own))[:, None])).sum(axis=0)
+        at = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
+        place = np.flatnonzero(self.codes[at] == own)  # also the n-gram's rank in the text
+        first, n = self.starts[at[place]], self.starts[at[place] + 1] - self.starts[at[place]]
+        every = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(place) else place
+        gained = self.most - np.abs(self.ranks[every] - np.repeat(place, n))
+        off = self.most * len(own) - np.bincount(self.langs[every], weights=gained, minlength=len(self.names))
         best = int(off.argmin())
         return self.names[best], float(1 - off[best] / (self.most * len(own)))
 
@@ -119,15 +122,15 @@ class Profiles:
 def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, most: int = PROFILE_SIZE) -> Profiles:
     """Profiles of the rows with a label that are not held out."""
     labelled = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").count().collect()  # a row for each label
     if not sizes:
         return Profiles({}, most)
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"]))])
+    share = F.map_from_arrays(F.lit([r["lang"] for r in sizes]), F.lit([min(1.0, per_language / r["count"]) for r in sizes]))
     sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)) * (1 << 20))
     counts = sample.select("lang", "text").mapInArrow(count_batches, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     profiles: dict[str, list[int]] = {}
-    for r in counts.withColumn("place", place).filter(F.col("place") <= most).orderBy("lang", "place").collect():  # MAX_LANGUAGES * PROFILE_SIZE rows at most
+    for r in counts.withColumn("place", place).filter(F.col("place") <= most).orderBy("lang", "place").collect():  # PROFILE_SIZE rows a label
         profiles.setdefault(r["lang"], []).append(r["gram"])
     return Profiles(profiles, most)
 
