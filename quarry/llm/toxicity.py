@@ -1,17 +1,18 @@
 """Operator 8: toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
 Folding: lower case, look-alike letters of other scripts to Latin ones, full-width forms to plain ones, digits that stand
-for letters, and @ and $ between letters. A lexicon entry is the beginning of a word; its weight is the log ratio of
-its share of toxic to that of other labelled documents. Words and stems are learned, as are exception phrases: pairs of
-neighbouring words around a hit that only other documents hold. A hit inside an exception phrase does not count.
+for letters where they stand by a letter, and @ and $ between letters. A lexicon entry is the beginning of a word, of
+STEM_LETTERS, or a whole shorter word; its weight is the log ratio of its share of toxic to that of other labelled
+documents. Entries are learned, as are exception phrases: pairs of neighbouring words around a hit that only other
+documents hold. A hit inside an exception phrase does not count.
 
 Score: a logistic function, fitted to the labelled rows, of the logarithm of the sum of weights and of the same sum
 normalised by the text's length in words. Texts without a hit get the score of no hit, as do null and empty ones.
 
-Learning takes a sample of the labelled rows that is bounded by SAMPLE_TOXIC and SAMPLE_OTHER (by a hash of the id); the
-lexicon has MAX_ENTRIES entries at most, chosen among MAX_CANDIDATES word beginnings. Without toxic or other rows to learn
-from, every score is 0. Texts are scored whole. Repeated rows are scored each for itself; ids that `labels` repeats count
-once, as toxic if any row says so; ids it lacks or nulls teach nothing.
+Learning takes a sample of the labelled rows that is bounded by SAMPLE_TOXIC and SAMPLE_OTHER (by a hash of the id), and all
+entries and phrases that it supports. Without toxic or other rows to learn from, every score is 0. Texts are scored whole.
+Repeated rows are scored each for itself; of documents that repeat an id the least text teaches; ids that `labels` repeats
+count once, as toxic if any row says so; ids it lacks or nulls teach nothing.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import batch, held_out, table
 
-SAMPLE_TOXIC, SAMPLE_OTHER, MAX_CANDIDATES, MAX_ENTRIES = 4000, 8000, 20000, 500
+SAMPLE_TOXIC, SAMPLE_OTHER = 4000, 8000
 STEM_LETTERS, LEAST_SHARE, LEAST_DOCUMENTS, LEAST_LOG_ODDS = (4, 8), 0.01, 3, 3.5
 EXCEPTION_DOCUMENTS, PREDICT_AT = 3, 0.7
 
@@ -40,25 +41,30 @@ HOMOGLYPHS = {
     "ı": "i", "ɡ": "g", "ſ": "s", "​": "", "‌": "", "‍": "", "­": "", "﻿": "",
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
-FOLDS = str.maketrans(HOMOGLYPHS | DIGITS | {chr(0xFF41 + k): chr(0x61 + k) for k in range(26)})
+FOLDS, LETTERS_OF = str.maketrans(HOMOGLYPHS | {chr(0xFF41 + k): chr(0x61 + k) for k in range(26)}), str.maketrans(DIGITS)
 SYMBOLS = {"@": "a", "$": "s"}
 
-WORDS = re.compile(r"[^\W\d_]+")
+WORDS, LETTER = re.compile(r"[^\W\d_]+"), re.compile(r"[^\W\d_]")
 COUNTED = pa.schema([("entry", pa.string()), ("n", pa.int64())])
 FEATURES = pa.schema([("toxic", pa.int32()), ("total", pa.float64()), ("words", pa.int64())])
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
 
+#: A run of letters and digits that begins with one kind and has the other.
+MIXED = re.compile(r"\b(?:[^\W\d_]++\d|\d++[^\W\d_])\w*+")
+
+
 def fold(text: str | None) -> str:
-    folded = (text or "").lower().translate(FOLDS)
+    folded = MIXED.sub(lambda m: m[0].translate(LETTERS_OF), (text or "").lower().translate(FOLDS))
     if "@" in folded or "$" in folded:
         folded = re.sub(r"(?<=[^\W\d_])[@$](?=[^\W\d_])", lambda m: SYMBOLS[m[0]], folded)
     return folded
 
 
 def stems(folded: str) -> set[str]:
+    """Beginnings of words, and words too short for one with a blank after them."""
     low, high = STEM_LETTERS
-    return {w[:k] for w in set(WORDS.findall(folded)) for k in range(low, min(len(w), high) + 1)}
+    return {w[:k] if len(w) >= low else w + " " for w in set(WORDS.findall(folded)) for k in range(low, max(low, min(len(w), high)) + 1)}
 
 
 def count_stems(only: frozenset | None):
@@ -93,8 +99,9 @@ class Lexicon:
             import ahocorasick
 
             self.automaton = ahocorasick.Automaton()
-            for stem, weight in self.weights.items():
-                self.automaton.add_word(stem, (len(stem), weight))
+            for entry, weight in self.weights.items():
+                stem = entry.rstrip(" ")
+                self.automaton.add_word(stem, (len(stem), weight, stem != entry))
             self.automaton.make_automaton()
         return self.automaton
 
@@ -103,14 +110,19 @@ class Lexicon:
         if not self.weights:
             return
         best: dict[int, float] = {}
-        for end, (n, weight) in self.matcher().iter(folded):
+        for end, (n, weight, whole) in self.matcher().iter(folded):
             start = end - n + 1
-            if start == 0 or not folded[start - 1].isalpha():
-                best[start] = max(weight, best.get(start, 0.0))
-        for start, weight in best.items():
-            word = WORDS.match(folded, start)[0]
-            before, after = WORDS.findall(folded[max(0, start - 64) : start]), WORDS.search(folded, start + len(word), start + len(word) + 64)
-            yield before[-1] if before else "", word, after[0] if after else "", weight
+            if (start == 0 or not LETTER.match(folded, start - 1)) and not (whole and LETTER.match(folded, end + 1)):
+                best[start] = max(weight, best.get(start, weight))
+        if not best:
+            return
+        previous, before, start = "", "", -1
+        for m in WORDS.finditer(folded):  # a hit is known when the word after it is
+            if start in best:
+                yield previous, before, m[0], best[start]
+            previous, before, start = before, m[0], m.start()
+        if start in best:
+            yield previous, before, "", best[start]
 
     def total(self, text: str | None) -> tuple[float, int]:
         """Sum of the weights of hits outside exception phrases, and the text's words."""
@@ -134,11 +146,14 @@ def choose(toxic: dict[str, int], other: dict[str, int], n_toxic: int, n_other:
     """Beginnings of words that tell toxic documents, none of which begins another."""
     odds = {s: math.log((t + 0.5) / (n_toxic + 1)) - math.log((other.get(s, 0) + 0.5) / (n_other + 1)) for s, t in toxic.items()}
     chosen: dict[str, float] = {}
+    begun: set[str] = set()  # beginnings of what is chosen
     for stem in sorted(odds, key=lambda s: (-odds[s], len(s), s)):
-        if odds[stem] < LEAST_LOG_ODDS or len(chosen) >= MAX_ENTRIES:
+        if odds[stem] < LEAST_LOG_ODDS:
             break
-        if not any(stem[:k] in chosen for k in range(1, len(stem) + 1)) and not any(c.startswith(stem) for c in chosen):
+        beginnings = {stem[:k] for k in range(1, len(stem) + 1)}
+        if stem not in begun and not any(b in chosen for b in beginnings):
             chosen[stem] = odds[stem]
+            begun |= beginnings
     return chosen
 
 
@@ -165,18 +180,19 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     share = F.when(F.col("toxic") != 0, F.lit(min(1.0, SAMPLE_TOXIC / sizes[1]))).otherwise(F.lit(min(1.0, SAMPLE_OTHER / sizes[0])))
     ids = marked.filter(F.pmod(F.xxhash64("l_id"), F.lit(1 << 20)) < share * (1 << 20)).select("l_id", (F.col("toxic") != 0).cast("int").alias("toxic"))
     # the ids' number is bounded by the sample's, so they go to the documents and no text is shuffled
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("l_id")).select("text", "toxic").persist()
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("l_id"))
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic").persist()
     try:
         n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
         if not n.get(1) or not n.get(0):
             return Lexicon({})
         counted = lambda toxic, only: sample.filter(F.col("toxic") == toxic).select("text").mapInArrow(count_stems(only), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
         least = max(LEAST_DOCUMENTS, math.ceil(LEAST_SHARE * n[1]))
-        toxic = {r["entry"]: r["n"] for r in counted(1, None).filter(F.col("n") >= least).orderBy(F.desc("n"), "entry").limit(MAX_CANDIDATES).collect()}
+        toxic = {r["entry"]: r["n"] for r in counted(1, None).filter(F.col("n") >= least).collect()}
         other = {r["entry"]: r["n"] for r in counted(0, frozenset(toxic)).collect()}
         weights = choose(toxic, other, n[1], n[0])
         phrases = sample.mapInArrow(count_phrases(Lexicon(weights)), "toxic int, before string, word string, n long").groupBy("before", "word").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n"))).alias("clean"), F.sum(F.when(F.col("toxic") == 1, F.col("n"))).alias("bad"))
-        phrases = phrases.filter((F.col("clean") >= EXCEPTION_DOCUMENTS) & F.col("bad").isNull()).orderBy(F.desc("clean"), "before", "word").limit(MAX_ENTRIES)
+        phrases = phrases.filter((F.col("clean") >= EXCEPTION_DOCUMENTS) & F.col("bad").isNull())
         lexicon = Lexicon(weights, frozenset((r["before"], r["word"]) for r in phrases.collect()))
         rows = sample.mapInArrow(measure(lexicon), "toxic int, total double, words long").collect()  # SAMPLE_TOXIC + SAMPLE_OTHER rows, about
     finally:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict, namedtuple
 
@@ -102,6 +103,15 @@ def test_language_against_plain(spark, docs):
     assert found == expected
 
 
+def test_every_label_can_be_predicted(spark):
+    rng = random.Random(8)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 900)]
+    rows = [(3 * k, " ".join("".join(rng.choices(letters[3 * (k % 300) : 3 * (k % 300) + 3], k=4)) for _ in range(20)), f"l{k % 300:03d}") for k in range(3000)]
+    found = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    labels = {d: lang for d, _, lang in rows}
+    assert sum(r.lang_pred == labels[r.doc_id] for r in found) >= 0.99 * len(rows) and len({r.lang_pred for r in found}) == 300
+
+
 def test_language_held_out_accuracy(spark):
     joined = language_id.identify(documents(spark)).join(documents(spark).select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in joined) >= 0.97 * len(joined)
@@ -404,9 +414,12 @@ def test_quality_against_plain(spark, docs):
     blank = lambda x: not plain_words(x)
     normal = lambda x: " ".join(plain_words(re.sub("[0-9]+", "0", re.sub("[A-Z]", lambda m: m[0].lower(), x))))
     lines = [[x for x in (r.text or "").split("\n") if not blank(x)] for r in rows]
-    count, hosts = Counter(), Counter(r.source for r in rows)
+    holders, ids = defaultdict(set), defaultdict(set)
     for r, own in zip(rows, lines):
-        count.update({(r.source, normal(x)) for x in own})
+        ids[r.source].add(r.doc_id)
+        for x in own:
+            holders[r.source, normal(x)].add(r.doc_id)
+    count, hosts = ({k: len(v - {None}) for k, v in x.items()} for x in (holders, ids))
     expected = []
     for r, own in zip(rows, lines):
         words = plain_words(r.text)
@@ -420,6 +433,23 @@ def test_quality_against_plain(spark, docs):
     assert found == sorted(expected)
 
 
+def test_quality_of_repeated_rows_against_sql(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    line = "a line that very many of this host's documents hold, in these same words every time"
+    words = " ".join(f"own{k}" for k in range(8))
+    rows = [(7, f"{line}\n{words} once", "a")] * 30 + [(k, f"{line}\n{words} {k}", "b") for k in range(30)] + [(None, f"{line}\n{words}", "c")] * 30 + [(k % 5, f"{line}\n{words} {k}", None) for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = sorted(map(str, con.execute(quality.OP7_SQL).fetchall()))
+    for hot in (1000, 20):
+        monkeypatch.setattr(quality, "HOT_ROWS", hot)
+        found = quality.op7(spark, str(tmp_path)).collect()
+        assert sorted(str(tuple(r)) for r in found) == expected
+    assert len(found) == 130 and sum(r.kept for r in found) == 100  # all but those of host b
+
+
 def test_quality_has_no_python(spark):
     plan = "".join(f(documents(spark))._jdf.queryExecution().toString() for f in (quality.text_figures, quality.assess))
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -445,7 +475,84 @@ def test_toxicity_learns_stems_and_exceptions(spark):
 
 
 def test_toxicity_folds():
-    assert toxicity.fold("1D1OT ѕсum ｆool l0$er p@th $5") == "idiot scum fool loser path $s"
+    assert toxicity.fold("1D1OT ѕсum ｆool l0$er p@th $5") == "idiot scum fool loser path $5"
+    assert toxicity.fold("4553 in 1984, 50 v3rmin4 x_5") == "4553 in 1984, 50 vermina x_5"
+    start = time.time()
+    for text in ("1" * 500_000, "a" * 500_000, "a1" * 250_000, "_" * 500_000):
+        assert len(toxicity.fold(text)) == 500_000
+    assert time.time() - start < 10
+
+
+def plain_entries(text):
+    words = re.findall(r"[^\W\d_]+", toxicity.fold(text))
+    return {w[:k] for w in words for k in range(4, min(8, len(w)) + 1)} | {w + " " for w in words if len(w) < 4}
+
+
+def plain_hits(text, weights):
+    """(word before, word, word after, weight) by comparing every word with every entry."""
+    words = ["", *re.findall(r"[^\W\d_]+", toxicity.fold(text)), ""]
+    for k in range(1, len(words) - 1):
+        own = [w for e, w in weights.items() if (words[k] + " ").startswith(e)]
+        if own:
+            yield words[k - 1], words[k], words[k + 1], max(own)
+
+
+def plain_lexicon(rows):
+    """rows: (text, toxic)."""
+    n = Counter(t for _, t in rows)
+    counts = [Counter(e for text, t in rows if t == side for e in plain_entries(text)) for side in (0, 1)]
+    least = max(toxicity.LEAST_DOCUMENTS, math.ceil(toxicity.LEAST_SHARE * n[1]))
+    odds = {e: math.log((c + 0.5) / (n[1] + 1)) - math.log((counts[0][e] + 0.5) / (n[0] + 1)) for e, c in counts[1].items() if c >= least}
+    weights = {}
+    for e in sorted(odds, key=lambda e: (-odds[e], len(e), e)):
+        if odds[e] >= toxicity.LEAST_LOG_ODDS and not any(c.startswith(e) or e.startswith(c) for c in weights):
+            weights[e] = odds[e]
+    pairs = [Counter(), Counter()]
+    for text, t in rows:
+        pairs[t].update({p for a, w, b, _ in plain_hits(text, weights) for p in ((a, w), (w, b)) if all(p)})
+    exceptions = {p for p, c in pairs[0].items() if c >= toxicity.EXCEPTION_DOCUMENTS and not pairs[1][p]}
+    total = lambda text: sum(x for a, w, b, x in plain_hits(text, weights) if (a, w) not in exceptions and (w, b) not in exceptions)
+    measure = lambda text: (total(text), len(toxicity.fold(text).split()))
+    b0, b1, b2 = toxicity.fit(sorted((t, *measure(text)) for text, t in rows))
+
+    def score(text):
+        found, words = measure(text)
+        return 1 / (1 + math.exp(-(b0 + b1 * math.log1p(found) + b2 * math.log1p(100 * found / max(words, 10)))))
+
+    return weights, exceptions, score
+
+
+@pytest.mark.parametrize("source", ["toy", "documents"])
+def test_toxicity_against_plain(spark, source):
+    docs, labels = toy_labels(spark) if source == "toy" else (documents(spark), spark.read.parquet(f"{SF}/labels.parquet"))
+    toxic = defaultdict(int)
+    for r in labels.collect():
+        if r.doc_id is not None and r.toxic is not None and not held(r.doc_id):
+            toxic[r.doc_id] = max(toxic[r.doc_id], int(r.toxic != 0))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    weights, exceptions, score = plain_lexicon([(texts[d], t) for d, t in toxic.items() if d in texts])
+    lexicon = toxicity.learn(docs, labels)
+    assert lexicon.weights == pytest.approx(weights) and lexicon.exceptions == exceptions
+    found = toxicity.score(docs, lexicon).collect()
+    texts_of = defaultdict(list)
+    for r in docs.collect():
+        texts_of[r.doc_id].append(r.text)
+    for r in found:
+        assert any(r.score == pytest.approx(score(text), abs=1e-9) for text in texts_of[r.doc_id]) and r.predicted == int(r.score >= 0.7) and r.held_out == held(r.doc_id)
+
+
+def test_toxicity_held_out_ranking(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    found = toxicity.score(docs, toxicity.learn(docs, labels)).join(labels, "doc_id").filter("held_out and toxic is not null").collect()
+    bad, good = [r.score for r in found if r.toxic], [r.score for r in found if not r.toxic]
+    assert bad and sum((b > g) + (b == g) / 2 for b in bad for g in good) / (len(bad) * len(good)) >= 0.85  # some labels are noise
+
+
+def test_short_words_and_far_neighbours():
+    short = toxicity.Lexicon({"vil ": 4.0, "verm": 5.0}, frozenset({("a" * 100, "vermin")}), (-3.0, 2.0, 1.0))
+    assert short.total("evil vile vil")[0] == 4 and short.total("VIL!")[0] == 4
+    assert short.total("a" * 100 + " " * 200 + "vermin")[0] == 0 and short.total("b vermin")[0] == 5
 
 
 def test_toxicity_without_labels(spark):
