@@ -12,11 +12,12 @@ from . import retrieval
 
 @dataclass(frozen=True)
 class Index:
-    """What searches read. size: one row (n, avgdl); vectors: chunk_id, embedding, or None."""
+    """What searches read. size: one row (n, avgdl); words: the vocabulary; vectors: chunk_id, embedding, or None."""
 
     chunks: DataFrame
     postings: DataFrame
     size: DataFrame
+    words: DataFrame
     vectors: DataFrame | None = None
 
     @classmethod
@@ -24,20 +25,20 @@ class Index:
         """Built from chunks; keep: held in the executors' memory and disks until released, since each search reads it several times."""
         chunks = chunks.persist() if keep else chunks
         postings = retrieval.postings(chunks).persist() if keep else retrieval.postings(chunks)
-        size = retrieval.corpus_size(postings)
-        return cls(chunks, postings, size.persist() if keep else size, vectors)
+        size, words = retrieval.corpus_size(postings), retrieval.vocabulary(postings)
+        return cls(chunks, postings, size.persist() if keep else size, words.persist() if keep else words, vectors)
 
     def release(self) -> None:
-        for df in (self.chunks, self.postings, self.size):
+        for df in (self.chunks, self.postings, self.size, self.words):
             df.unpersist()
 
     def write(self, path: str) -> None:
-        for name in ("chunks", "postings", "size"):
+        for name in ("chunks", "postings", "size", "words"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @classmethod
     def read(cls, spark, path: str) -> Index:
-        return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("chunks", "postings", "size")])
+        return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("chunks", "postings", "size", "words")])
 
 
 def classify(old: DataFrame, new: DataFrame, profile_changed: bool = False) -> DataFrame:

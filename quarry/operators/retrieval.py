@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from ..functions import scoring, text
 from ..functions.markdown import link_key, path_stem, title_key
 from ..functions.tiers import event_time, source_tier
+from ..sources.shared import settled
 
 KEYWORD_DEPTH, VECTOR_DEPTH, ROUTE_DEPTH, TIER_DEPTH, POOL_CAP = 80, 80, 50, 60, 200
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-PREFIX_CHARS = 12
+#: Characters by which prefixes meet tokens; tokens of a batch that are sent to all tasks at most.
+PREFIX_KEY, BROADCAST_ROWS = 3, 200_000
 #: Query vectors compared in one pass over the table; more queries make more passes.
 QUERY_BLOCK = 2048
 TIERS_OF = {"historical": ["transcript", "report", "system_snapshot", "raw", "brain"], "concept": ["wiki", "brain"], "config": ["report", "system_snapshot", "raw", "brain"]}
@@ -54,17 +56,39 @@ def query_terms(analyzed: DataFrame) -> DataFrame:
     return analyzed.filter("keyword_mode <> 'none'").select("query_id", "keyword_mode", F.size("keyword_terms").alias("n_terms"), F.explode("keyword_terms").alias("t")).select("query_id", "keyword_mode", "n_terms", "t.term", "t.prefix")
 
 
-def keyword_candidates(index: DataFrame, terms: DataFrame, size: DataFrame, depth: int = KEYWORD_DEPTH, key: str = "chunk_id") -> DataFrame:
+def vocabulary(chunks_postings: DataFrame) -> DataFrame:
+    """token, df: the index's distinct tokens."""
+    return chunks_postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
+def begins(token: Column) -> Column:
+    """A token's beginnings of 1 to PREFIX_KEY characters."""
+    return F.transform(F.sequence(F.lit(1), F.least(F.length(token), F.lit(PREFIX_KEY))), lambda n: F.substring(token, F.lit(1), n))
+
+
+def term_tokens(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """query_id, keyword_mode, n_terms, term, token: the tokens that each term stands for.
+
+    A prefix term meets the vocabulary by the equality of their first PREFIX_KEY characters (or of all, if it has fewer), and
+    what meets is checked in full, so a prefix may be of any length.
+    """
+    named = ("query_id", "keyword_mode", "n_terms", "term")
+    exact = terms.filter("not prefix").select(*named, F.col("term").alias("token"))
+    keyed = words.select("token", F.explode(begins(F.col("token"))).alias("begin"))
+    asked = terms.filter("prefix").withColumn("key", F.substring("term", 1, PREFIX_KEY))
+    prefixed = asked.join(keyed, F.col("key") == F.col("begin")).filter(F.col("token").startswith(F.col("term"))).select(*named, "token")
+    return exact.unionByName(prefixed)
+
+
+def keyword_candidates(index: DataFrame, terms: DataFrame, size: DataFrame, depth: int = KEYWORD_DEPTH, key: str = "chunk_id", words: DataFrame | None = None) -> DataFrame:
     """BM25 over the postings: query_id, chunk_id, bm25 (higher is better), keyword_score, keyword_rank.
 
-    A prefix term stands for all tokens that begin with it; its frequency is theirs together. Prefixes of tokens are joined by
-    equality. The terms that queries name cut the postings down before anything is aggregated.
+    A prefix term stands for all tokens that begin with it; its frequency is theirs together. The tokens that queries name are
+    settled and counted: up to BROADCAST_ROWS they go to the postings, which then aren't shuffled before they are cut down.
+    words: vocabulary(), if the index keeps it.
     """
-    exact = terms.filter("not prefix").select("query_id", "keyword_mode", "n_terms", "term", F.col("term").alias("token"))
-    vocabulary = index.select("token").distinct()
-    begun = vocabulary.select("token", F.explode(F.sequence(F.lit(1), F.least(F.length("token"), F.lit(PREFIX_CHARS)))).alias("n")).select("token", F.substring(F.col("token"), F.lit(1), F.col("n")).alias("begin"))
-    prefixed = terms.filter("prefix").join(begun, F.col("term") == F.col("begin")).select("query_id", "keyword_mode", "n_terms", "term", "token")
-    hits = exact.unionByName(prefixed).join(index, "token").groupBy("query_id", "keyword_mode", "n_terms", "term", key).agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+    wanted = settled(term_tokens(vocabulary(index) if words is None else words, terms))
+    hits = index.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "token").groupBy("query_id", "keyword_mode", "n_terms", "term", key).agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
     frequency = hits.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -76,31 +100,51 @@ def keyword_candidates(index: DataFrame, terms: DataFrame, size: DataFrame, dept
 # Vectors
 
 
+def best_of(distance: np.ndarray, names: np.ndarray, depth: int) -> np.ndarray:
+    """Places of the `depth` nearest, by distance rounded to 9 places and then by name."""
+    if len(distance) > depth:
+        near = np.flatnonzero(distance <= np.partition(distance, depth - 1)[depth - 1] + 1e-8)
+    else:
+        near = np.arange(len(distance))
+    return near[np.lexsort((names[near].astype(str), np.round(distance[near], 9)))][:depth]
+
+
 def nearest(queries: list[tuple[str, np.ndarray]], depth: int, key: str):
-    """Per task: the best `depth` rows of each query by L2 distance in double precision."""
+    """Per task: the best `depth` rows of each query by L2 distance in double precision.
+
+    One matrix product a batch finds bounds of all distances; only rows whose bound could be among the best are measured.
+    """
     schema = pa.schema([("query_id", pa.string()), (key, pa.string()), ("distance", pa.float64())])
+    by_dim: dict[int, list[tuple[str, np.ndarray]]] = {}
+    for query_id, q in queries:
+        by_dim.setdefault(len(q), []).append((query_id, q))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
             ids, lists = b.column(0), b.column(1)
-            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-            for dim in {len(v) for _, v in queries}:
+            size = pc.list_value_length(lists).fill_null(-1).to_numpy(zero_copy_only=False)
+            for dim, asked in by_dim.items():
                 rows = np.flatnonzero(size == dim)
                 if not len(rows):
                     continue
                 x = np.asarray(lists.take(pa.array(rows)).flatten()).astype(np.float64).reshape(-1, dim)
                 names = np.array(ids.take(pa.array(rows)).to_pylist(), dtype=object)
-                for query_id, q in queries:
-                    if len(q) != dim:
-                        continue
-                    d = np.sqrt(((x - q) ** 2).sum(axis=1))
+                q = np.stack([v for _, v in asked])
+                norms, squares = (x**2).sum(axis=1), (q**2).sum(axis=1)
+                rough = norms[:, None] - 2 * (x @ q.T) + squares  # squared distances, but for rounding
+                slack = 1e-9 * (norms.max() + squares) + 1e-12
+                for k, (query_id, v) in enumerate(asked):
                     held_d, held_n = best.get(query_id, (np.zeros(0), np.zeros(0, object)))
-                    d, n = np.concatenate((held_d, d)), np.concatenate((held_n, names))
-                    order = sorted(range(len(d)), key=lambda k: (round(d[k], 9), n[k]))[:depth] if len(d) <= 4 * depth else None
-                    if order is None:
-                        near = np.flatnonzero(d <= np.partition(d, depth)[depth] + 1e-8)
-                        order = sorted(near.tolist(), key=lambda k: (round(d[k], 9), n[k]))[:depth]
+                    own = rough[:, k]
+                    limit = np.partition(own, depth - 1)[depth - 1] if len(own) > depth else np.inf
+                    if len(held_d) >= depth:
+                        limit = min(limit, (held_d[-1] + 1e-8) ** 2)
+                    near = np.flatnonzero(own <= limit + 2 * slack[k] + 1e-7 * abs(limit) if np.isfinite(limit) else np.ones(len(own), bool))
+                    if not len(near):
+                        continue
+                    d, n = np.concatenate((held_d, np.sqrt(((x[near] - v) ** 2).sum(axis=1)))), np.concatenate((held_n, names[near]))
+                    order = best_of(d, n, depth)
                     best[query_id] = (d[order], n[order])
         rows = [(q, n, float(x)) for q, (d, names) in best.items() for x, n in zip(d, names)]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)

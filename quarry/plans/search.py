@@ -54,7 +54,7 @@ def search(index: Index, queries: DataFrame, now: str, options: SearchOptions =
     asked = settled(query_analysis.analyze(queries, options.expand, list(options.stopwords)))
     terms = retrieval.query_terms(asked)
     postings = index.postings if not options.filter else index.postings.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
-    keyword = retrieval.keyword_candidates(postings, terms, index.size)
+    keyword = retrieval.keyword_candidates(postings, terms, index.size, words=index.words)
     if index.vectors is not None and query_vectors is not None:
         held = index.vectors if not options.filter else index.vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
         vector = retrieval.vector_candidates(held, query_vectors)
@@ -88,7 +88,7 @@ def trace(index: Index, queries: DataFrame) -> DataFrame:
     """How many rows each branch gives each query: query_id, stage, rows."""
     asked = settled(query_analysis.analyze(queries))
     chunks = index.chunks
-    stages = {"keyword": retrieval.keyword_candidates(index.postings, retrieval.query_terms(asked), index.size), "route": retrieval.route_candidates(chunks, asked), "tier": retrieval.tier_candidates(chunks, asked)}
+    stages = {"keyword": retrieval.keyword_candidates(index.postings, retrieval.query_terms(asked), index.size, words=index.words), "route": retrieval.route_candidates(chunks, asked), "tier": retrieval.tier_candidates(chunks, asked)}
     out = None
     for name, df in stages.items():
         counted = df.groupBy("query_id").agg(F.count(F.lit(1)).alias("rows")).select("query_id", F.lit(name).alias("stage"), "rows")

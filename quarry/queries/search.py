@@ -12,7 +12,7 @@ from .base import CHUNKS, EVIDENCE, NOW, TIER, event_time_sql, indexed, note_chu
 
 ASKED = [
     ("q01", "the and with"), ("q02", "path:wiki/reports"), ("q03", "#topic3"), ("q04", "when was the timeline of Title 12 started?"), ("q05", "config error: system snapshot port"), ("q06", "Title 12"),
-    ("q07", "rag eval embedding retrieval"), ("q08", "wiki/en/3.md"), ("q09", "tag:en"), ("q10", "definition of the"), ("q11", "  "), ("q12", "latest audit status of links and open tasks"), ("q13", "links"), ("q14", "什么时候 开始"), ("q15", "erer (the) don't 'quote'"),
+    ("q07", "rag eval embedding retrieval"), ("q08", "wiki/en/3.md"), ("q09", "tag:en"), ("q10", "definition of the"), ("q11", "  "), ("q12", "latest audit status of links and open tasks"), ("q13", "links"), ("q14", "什么时候 开始"), ("q15", "erer (the) don't 'quote'"), ("q16", "thisonwhbleon"), ("q17", "Thanonontioniner"), ("q18", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"),
 ]
 SHORT_LIST = ["the", "of"]
 
@@ -75,7 +75,7 @@ def keyword(spark, sf):
 
 
 def query_vectors(spark, sf):
-    return table(spark, sf, "embeddings").filter("vec_id % 50 = 3").select(F.col("vec_id").cast("string").alias("query_id"), "embedding")
+    return table(spark, sf, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("query_id"), "embedding")
 
 
 def vector(spark, sf):
@@ -108,7 +108,7 @@ def tiered(spark, sf):
 
 def branches(spark, sf):
     index, a = indexed(spark, sf), settled(query_analysis.analyze(asked(spark)))
-    kw = retrieval.keyword_candidates(index.postings, retrieval.query_terms(a), index.size)
+    kw = retrieval.keyword_candidates(index.postings, retrieval.query_terms(a), index.size, words=index.words)
     none = spark.createDataFrame([], "query_id string, chunk_id string, vector_rank int, vector_score double")
     return settled(retrieval.pool(kw, none, retrieval.route_candidates(index.chunks, a), retrieval.tier_candidates(index.chunks, a)))
 
@@ -394,8 +394,8 @@ SQL = {
     "e10_scope": f"WITH {CHUNKS} SELECT chunk_id FROM chunks WHERE has_link AND list_contains(tags, 'topic3') AND list_contains(tags, 'en')",
     "f01_postings": f"WITH {CHUNKS}{_POSTINGS} SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM postings GROUP BY token",
     "f01_keyword": f"WITH {CHUNKS}, {_analysis()}{_POSTINGS}{_KEYWORD} SELECT query_id, chunk_id, keyword_rank, round(keyword_score, 6) AS keyword_score FROM kw",
-    "f02_vector": "WITH p AS (SELECT CAST(q.vec_id AS VARCHAR) AS query_id, CAST(v.vec_id AS VARCHAR) AS chunk_id, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS d FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 3), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), chunk_id) AS vector_rank FROM p) SELECT query_id, chunk_id, vector_rank, round(1 / (1 + d), 6) AS vector_score FROM r WHERE vector_rank <= 20",
-    "f03_filtered_vector": "WITH p AS (SELECT CAST(q.vec_id AS VARCHAR) AS query_id, CAST(v.vec_id AS VARCHAR) AS chunk_id, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS d FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 3 AND v.label IN (1, 3, 5)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), chunk_id) AS vector_rank FROM p) SELECT query_id, chunk_id, vector_rank, round(d, 6) AS distance FROM r WHERE vector_rank <= 10",
+    "f02_vector": "WITH p AS (SELECT CAST(q.vec_id AS VARCHAR) AS query_id, CAST(v.vec_id AS VARCHAR) AS chunk_id, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS d FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), chunk_id) AS vector_rank FROM p) SELECT query_id, chunk_id, vector_rank, round(1 / (1 + d), 6) AS vector_score FROM r WHERE vector_rank <= 20",
+    "f03_filtered_vector": "WITH p AS (SELECT CAST(q.vec_id AS VARCHAR) AS query_id, CAST(v.vec_id AS VARCHAR) AS chunk_id, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS d FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND v.label IN (1, 3, 5)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), chunk_id) AS vector_rank FROM p) SELECT query_id, chunk_id, vector_rank, round(d, 6) AS distance FROM r WHERE vector_rank <= 10",
     "f04_exact": f"""WITH {values_sql('q', 'query_id, words', [('53', ['en', 'src3', 'the']), ('3', ['and', 'of', 'to'])])}, c AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, text, [lang, source] AS tags, embedding FROM documents JOIN embeddings ON doc_id = vec_id),
       s AS (SELECT query_id, chunk_id, least(list_sum(list_transform(words, lambda w: CASE WHEN contains(lower(text), w) THEN 0.1 ELSE 0 END + CASE WHEN len(list_filter(tags, lambda t: contains(lower(t), w))) > 0 THEN 0.05 ELSE 0 END)), 1.0) AS keyword_score, list_distance(CAST(c.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS d FROM q JOIN embeddings e ON CAST(e.vec_id AS VARCHAR) = query_id, c)
       SELECT query_id, chunk_id, round(keyword_score, 6) AS keyword_score, round(0.35 * keyword_score + 0.35 / (1 + d) + 1e-9, 6) AS score FROM s""",
