@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sorted_distinct, strings
+from ..sources.shared import settled
 
 POSITIVE, CORRECTIVE = ("selected", "clicked", "accepted", "useful", "positive"), ("corrected", "missed", "expected")
 # Words that say little in a query.
@@ -18,6 +19,7 @@ ERRORS = [
     ("provider_down", ["api key", "embedding request failed"]), ("vector_backend_missing", ["vector backend"]), ("vault_unreadable", [("vault", "read"), ("vault", "unreadable"), ("vault", "missing")]),
     ("invalid_argument", ["unknown command", "unknown flag", "invalid", "required"]), ("store_corrupt", ["malformed", "corrupt"]), ("schema_missing", ["no such table", "schema"]), ("store_open_failed", ["database", "parquet", "path does not exist"]),
 ]
+BUCKET_FILES, LEAST_BUCKETS, MANIFEST_FANOUT = 64, 16, 64
 SOFT_ERRORS = ("no_embeddings", "invalid_argument", "count_mismatch")
 
 
@@ -144,12 +146,55 @@ def penalty_proposal(metrics: DataFrame, current: float) -> DataFrame:
     return metrics.select(F.when(some & down, F.lit(round(max(current - PENALTY_STEP, LEAST_PENALTY), 6))).when(some & up, F.lit(round(min(current + PENALTY_STEP, MOST_PENALTY), 6))).alias("penalty"))
 
 
+def initial_state() -> dict:
+    """The optimizer's settings before it has learned, also after a reset."""
+    return {"stopwords": [], "penalty": 1.0, "last_id": 0, "steps": 0, "confirmed_ratio": None, "previous": None, "last_action": None}
+
+
 def next_state(state: dict, stopwords: list[str], penalty: float | None, latest_id: int, ratio: float) -> dict:
-    """The optimizer's state after a proposal is applied; after three steps and a drop of the confirmed share by 0.05, back to its first settings."""
-    steps = state.get("steps", 0)
-    if steps >= 3 and state.get("confirmed_ratio", ratio) - ratio >= 0.05:
-        return {"stopwords": [], "penalty": 1.0, "last_id": latest_id, "steps": 0, "confirmed_ratio": ratio, "rolled_back": True}
-    return {"stopwords": [*state.get("stopwords", []), *stopwords][:MAX_STOPWORDS], "penalty": state.get("penalty", 1.0) if penalty is None else penalty, "last_id": latest_id, "steps": steps + 1, "confirmed_ratio": max(ratio, state.get("confirmed_ratio", ratio)), "rolled_back": False}
+    """The optimizer's state after a proposal is applied; after three steps and a drop of the confirmed share by more than 0.05, back to the settings before the last."""
+    now = {**initial_state(), **state}
+    before = now["previous"]
+    if now["steps"] >= 3 and now["confirmed_ratio"] is not None and ratio + 0.05 < now["confirmed_ratio"] and before:
+        return {**now, **before, "steps": 0, "last_id": latest_id, "previous": None, "last_action": "rollback", "rolled_back": True}
+    kept = {k: now[k] for k in ("stopwords", "penalty", "confirmed_ratio")}
+    held = now["penalty"] if penalty is None else min(max(penalty, LEAST_PENALTY), MOST_PENALTY)
+    return {**now, "stopwords": sorted({*now["stopwords"], *stopwords}), "penalty": held, "last_id": latest_id, "steps": now["steps"] + 1, "confirmed_ratio": ratio, "previous": kept, "last_action": "apply", "rolled_back": False}
+
+
+def set_state(state: dict, penalty: float | None = None, add: list[str] = (), remove: list[str] = ()) -> dict:
+    """Settings by hand; the ones before are kept for a rollback."""
+    if penalty is None and not add and not remove:
+        raise ValueError("name a penalty, or words to add or remove")
+    if penalty is not None and not LEAST_PENALTY <= penalty <= MOST_PENALTY:
+        raise ValueError(f"the penalty is {LEAST_PENALTY:.2f} to {MOST_PENALTY:.2f}")
+    now = {**initial_state(), **state}
+    folded = lambda words: {w.strip().lower() for w in words if w.strip()}
+    words = sorted((folded(now["stopwords"]) | folded(add)) - folded(remove))
+    return {**now, "previous": {k: now[k] for k in ("stopwords", "penalty", "confirmed_ratio")}, "stopwords": words, "penalty": now["penalty"] if penalty is None else penalty, "last_action": "set"}
+
+
+def dry_run(events: DataFrame, state: dict, least_events: int) -> DataFrame:
+    """What the optimizer would do, without doing it: one row: events, eligible, stopwords, penalty (or null), the shares. events: id, returned, text_only, confirmed, weak_terms."""
+    now = {**initial_state(), **state}
+    metrics = log_metrics(events, now["last_id"])
+    words = stopword_proposal(events, least_events, now["stopwords"], now["last_id"]).agg(F.array_sort(F.collect_list("term")).alias("stopwords"))  # MAX_STOPWORDS at most
+    penalty = penalty_proposal(metrics, now["penalty"])
+    return metrics.join(words).join(penalty).withColumn("eligible", F.col("events") >= max(1, least_events)).withColumn("stopwords", F.when(F.col("eligible"), F.col("stopwords")).otherwise(strings())).withColumn("penalty", F.when(F.col("eligible"), F.col("penalty"))).select("events", "eligible", "stopwords", "penalty", "text_only_ratio", "confirmed_ratio")
+
+
+def maintenance(health: DataFrame) -> DataFrame:
+    """The maintenance gate: id, eval (passed, skipped, or why it failed), codes, state, ok.
+
+    health: id, codes (of the health report), queries (null without an evaluation), zero_hit, missing_phrases. An evaluation counts only
+    on a healthy index.
+    """
+    sound, asked = F.size("codes") == 0, F.col("queries").isNotNull()
+    none, gone = F.coalesce("zero_hit", F.lit(0)) > 0, F.coalesce("missing_phrases", F.lit(0)) > 0
+    result = F.when(~asked, "skipped").when(~sound, "not_ready").when(none & gone, "zero_hit_and_phrases").when(none, "zero_hit").when(gone, "phrases").otherwise("passed")
+    codes = F.when(F.col("eval").isin("passed", "skipped"), F.col("codes")).otherwise(F.array_union("codes", strings("smoke_query_failed")))
+    out = health.select("id", "codes", result.alias("eval")).withColumn("codes", codes).withColumn("state", health_state(F.col("codes")))
+    return out.select("id", "eval", "codes", "state", (F.col("state") == "ready").alias("ok"))
 
 
 def classify_error(message: Column) -> Column:
@@ -179,19 +224,29 @@ def status_counts(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return n.join(e).withColumns({"missing": F.col("chunks") - F.col("embedded"), "complete": F.col("chunks") == F.col("embedded")})
 
 
-def manifest(files: DataFrame, buckets: int = 256) -> DataFrame:
+def manifest(files: DataFrame, buckets: int | None = None) -> DataFrame:
     """Digests of a vault: a row for each bucket of paths with the digest of its files in order. files: path, hash, size.
 
-    A bucket is a range of path digests, so the files of one are few and the buckets' digests make the vault's (manifest_digest).
+    A bucket is a range of path digests. Without a number given, buckets grow with the files, BUCKET_FILES to each; manifests are
+    compared only if made with one number.
     """
-    f = files.withColumn("bucket", (F.conv(F.substring(F.sha2(F.col("path").cast("binary"), 256), 1, 4), 16, 10).cast("int") * buckets / 65536).cast("int"))
+    buckets = buckets or max(LEAST_BUCKETS, files.count() // BUCKET_FILES)
+    place = F.conv(F.substring(F.sha2(F.col("path").cast("binary"), 256), 1, 12), 16, 10).cast("decimal(20,0)")
+    f = files.withColumn("bucket", F.floor(place * buckets / F.lit(1 << 48).cast("decimal(20,0)")).cast("long"))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "hash"))), lambda x: F.concat_ws("\u0000", x["path"], x["hash"])), "\n")
     return f.groupBy("bucket").agg(F.sha2(lines.cast("binary"), 256).alias("digest"), F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
 
 
 def manifest_digest(m: DataFrame) -> DataFrame:
-    digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: x["digest"]), "").cast("binary"), 256)
-    return m.agg(digest.alias("digest"), F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+    """One row of a manifest: digest, files, bytes. MANIFEST_FANOUT neighbouring digests make one of the next level, up to a single one."""
+    m, n = settled(m), 1
+    most = m.agg(F.max("bucket")).first()[0] or 0
+    level = m.select(F.col("bucket").alias("node"), "digest", "files", "bytes")
+    while n == 1 or most >= 1:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "digest"))), lambda x: x["digest"]), "")
+        level = level.groupBy(F.floor(F.col("node") / MANIFEST_FANOUT).alias("up")).agg(F.sha2(joined.cast("binary"), 256).alias("digest"), F.sum("files").alias("files"), F.sum("bytes").alias("bytes")).withColumnRenamed("up", "node")
+        most, n = most // MANIFEST_FANOUT, n + 1
+    return level.select("digest", "files", "bytes")
 
 
 def verify_manifest(held: DataFrame, fresh: DataFrame) -> DataFrame:

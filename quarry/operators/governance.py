@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import contains_any
 
+# Words that ask for a closer look.
 REASON_CUES = ["判断", "取舍", "复盘", "架构", "综合", "推理", "结论", "为什么", "tradeoff", "trade-off", "architecture", "reason", "synthesis", "decision", "review"]
 CONFLICT_CUES = ["冲突", "矛盾", "conflict", "contradict", "disagree"]
 CROSS_CUES = ["和", "与", "关系", "关联", "cross", "between", "compare", "versus"]
@@ -35,8 +36,11 @@ def approvals(judged: DataFrame, allowed: DataFrame, asked: DataFrame) -> DataFr
     return a.select("id", F.when(F.col("known").isNull(), "unknown_proposal").when(F.col("reason") != "", F.col("reason")).when(F.col("listed").isNull(), "not_allowlisted").otherwise("approved").alias("decision"))
 
 
-def diff_text(source: Column, relation: Column, target: Column, confidence: Column) -> Column:
-    return F.format_string("+ %s --%s--> %s (%.2f)", source, relation, target, confidence)
+def diff_text(source: Column, target: Column, ident: Column, relation: Column, confidence: Column, status: Column, rationale: Column) -> Column:
+    """A proposal as a textual difference. The layout is a fixed value."""
+    head = F.format_string("--- a/%s\n+++ b/%s\n@@ semantic proposal %s\n", source, F.coalesce(target, F.lit("<missing-target>")), ident)
+    body = F.format_string("relation: %s\nconfidence: %.3f\nstatus: %s\nrationale: %s\n", F.coalesce(relation, F.lit("unknown")), confidence, status, F.replace(rationale, F.lit("\n"), F.lit(" ")))
+    return F.concat(head, body)
 
 
 def evidence(notes: DataFrame, queries: DataFrame, most: int = 5, fallback: int = 3) -> DataFrame:

@@ -17,6 +17,7 @@ EXPANSIONS = {
     "fts": ["keyword", "bm25"], "fts5": ["keyword", "bm25"], "embedding": ["vector", "semantic"], "embeddings": ["vector", "semantic"], "vector": ["embedding", "semantic"],
     "eval": ["evaluation", "benchmark", "quality"], "评测": ["eval", "evaluation", "benchmark"], "向量": ["vector", "embedding"], "检索": ["search", "retrieval"], "记忆": ["memory", "recall"],
 }
+# Terms that name no place, and the length of a short query.
 ROUTE_STOP_TERMS = ["什么", "怎么", "如何", "是否", "一个", "这个", "那个", "还有", "不是", "里面", "the", "and", "for", "with", "from"]
 SHORT_CHARS = 12
 

@@ -64,6 +64,14 @@ def temporal_quality(rows: DataFrame, query: Column, at: Column, historical: boo
     return out if include_stale else out.filter("validity_state <> 'stale'")
 
 
+def graph_boosted(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows whose note has active edges gain by their number, within bounds. edges: source_path, target_path, state."""
+    ends = edges.filter("state = 'active'").select(F.explode(F.array_distinct(F.array("source_path", "target_path"))).alias("path"))
+    counts = ends.groupBy("path").agg(F.count(F.lit(1)).alias("active_edges"))
+    out = rows.join(counts, "path", "left").withColumn("graph_boost", scoring.graph_boost(F.col("score"), F.coalesce("active_edges", F.lit(0))))
+    return out.withColumns({"score": F.col("score") + F.col("graph_boost"), "sources": F.when(F.col("graph_boost") > 0, F.array_union("sources", F.array(F.lit("graph")))).otherwise(F.col("sources"))}).drop("active_edges")
+
+
 def quality_summary(rows: DataFrame) -> DataFrame:
     boosts = [F.col(c) for c in ("freshness_boost", "confidence_boost", "status_boost", "evidence_boost")]
     return rows.withColumns({"quality": F.struct(*boosts, (boosts[0] + boosts[1] + boosts[2] + boosts[3]).alias("total_boost")), "evidence_count": F.size("sources")})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.redact import redact_lines
 from ..functions.text import neighbour_pairs, strings
+from .ordering import numbered
 
 MODES = ("daily", "manual", "weekly", "monthly", "yearly")
 #: Which generated roll-ups a mode reads.
@@ -17,9 +18,16 @@ GROUP = 40
 RANKS = {"low": 1, "medium": 2, "high": 3}
 PROMOTE_DATES, PROMOTE_REPEATS = 3, 2
 EVIDENCE_CHARS, EVIDENCE_SOURCES = 28_000, 24
-# Words that are no theme, and names of one theme.
-THEME_STOPWORDS = ["the", "and", "for", "with", "from", "this", "that", "you", "are", "was", "were", "not", "but", "into", "about", "have", "has", "will", "can", "use", "user", "assistant", "tool", "message", "session", "true", "false", "null", "http", "https", "www", "com"]
-SYNONYMS = {"reflect": "reflection", "reflection": "reflection", "反思": "reflection", "audit": "audit", "审计": "audit", "obsidian": "second-brain", "vault": "second-brain", "第二大脑": "second-brain", "二脑": "second-brain"}
+# Words that are no theme (English ones, then those of transcripts' frames), and names of one theme.
+THEME_STOPWORDS = [
+    "the", "and", "for", "with", "from", "this", "that", "you", "are", "was", "were", "not", "but", "into", "about", "have", "has", "had", "will", "can", "use", "uses", "using", "see", "note", "notes", "your", "they", "them",
+    "what", "when", "then", "than", "there", "here", "which", "would", "could", "should", "also", "just", "only", "more", "most", "some", "any", "all", "one", "two", "out", "its", "his", "her", "our",
+    "raw", "conversation", "transcript", "source", "source-evidence", "text", "redacted", "compaction", "reference", "summary", "metadata", "session", "sha256", "type", "status", "trust", "tier", "primary", "archived", "started", "ended",
+]
+SYNONYMS = {
+    "hermes": "hermes", "赫尔墨斯": "hermes", "obsidian": "second-brain", "vault": "second-brain", "第二大脑": "second-brain", "二脑": "second-brain", "codex": "codex", "minimax": "minimax", "m3": "minimax",
+    "审计": "audit", "audit": "audit", "反思": "reflection", "reflect": "reflection", "reflection": "reflection",
+}
 
 
 def window_start(mode: str, day: Column) -> Column:
@@ -50,7 +58,7 @@ def select_sources(notes: DataFrame, mode: str, day: str, most: int, raw_prefixe
     dated = notes.withColumn("source_date", source_date(F.col("path"), F.col("mtime"))).filter((F.col("source_date") >= window_start(mode, at)) & (F.col("source_date") <= at))
     kind = F.when(starts_with_any(F.col("path"), list(raw_prefixes)), "raw").when(F.col("generated") & starts_with_any(F.col("path"), LOWER_LEVELS.get(mode, [])), "generated")
     order = [F.when(F.col("kind") == "generated", 0).otherwise(1), F.asc("path")]
-    placed = dated.withColumn("kind", kind).filter("kind is not null").withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    placed = numbered(dated.withColumn("kind", kind).filter("kind is not null"), order)
     return placed.select("path", "kind", "source_date", "position", (F.col("position") <= most).alias("selected"))
 
 
@@ -59,7 +67,8 @@ def background(notes: DataFrame, day: str, days: int = BACKGROUND_DAYS) -> DataF
     at = F.lit(day).cast("date")
     dated = notes.filter(F.col("path").startswith("brain/daily/") & F.col("generated")).withColumn("source_date", source_date(F.col("path"), F.col("mtime")))
     near = dated.filter((F.col("source_date") >= F.date_sub(at, days)) & (F.col("source_date") < at))
-    return near.withColumn("position", F.row_number().over(Window.orderBy(F.desc("path")))).filter(F.col("position") <= days).select("path", "source_date", "position")
+    first = near.orderBy(F.desc("path")).limit(days)
+    return first.withColumn("position", F.row_number().over(Window.orderBy(F.desc("path")))).select("path", "source_date", "position")
 
 
 def plan(first: Column, last: Column) -> Column:
@@ -183,7 +192,7 @@ def anchors(sources: DataFrame, excerpt: int = 180) -> DataFrame:
 def within_budget(items: DataFrame, chars: int = EVIDENCE_CHARS, most: int = EVIDENCE_SOURCES) -> DataFrame:
     """The first items whose running length stays within the budget; the first is always kept. items: position, text."""
     run = F.sum(F.length("text")).over(Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0))
-    return items.withColumn("running", run).filter((F.col("position") <= most) & ((F.col("position") == 1) | (F.col("running") <= chars)))
+    return items.filter(F.col("position") <= most).withColumn("running", run).filter((F.col("position") == 1) | (F.col("running") <= chars))
 
 
 def acceptable(text: Column, known_anchors: Column) -> Column:
@@ -198,6 +207,29 @@ def snapshot_diff(old: DataFrame, new: DataFrame, profile_changed: bool = False)
     return o.join(n, "path", "full_outer").select("path", F.when(F.col("n").isNull(), "removed").when(F.lit(profile_changed) | F.col("o").isNull() | (F.col("o") != F.col("n")), "changed").otherwise("unchanged").alias("change"))
 
 
+def watermarks(selected: DataFrame, profile: str, run_id: str, status: str) -> DataFrame:
+    """The sidecar of a run: for each file what it was when the run read it. selected: path, hash, mtime, size."""
+    return selected.select(F.lit(profile).alias("profile"), "path", "hash", "mtime", "size", F.lit(run_id).alias("last_processed_run"), F.lit(status).alias("last_status"))
+
+
+def unprocessed(files: DataFrame, marks: DataFrame) -> DataFrame:
+    """Files that no run has read well as they are now: new, changed, or of a run that failed. files: path, hash."""
+    done = marks.filter("last_status = 'ok'").select("path", "hash")
+    return files.join(done, ["path", "hash"], "left_anti")
+
+
+def written_state(written: DataFrame, indexed: DataFrame, found: DataFrame) -> DataFrame:
+    """After a write: path, state (fresh, stale or missing in the index), smoke (whether the smoke search found it), degraded.
+
+    written: path, hash, size; indexed: path, hash, size of what the index holds; found: path of the smoke search's results.
+    """
+    held = indexed.select("path", F.col("hash").alias("i_hash"), F.col("size").alias("i_size"))
+    hit = found.select("path").distinct().withColumn("smoke", F.lit(True))
+    state = F.when(F.col("i_hash").isNull(), "missing").when((F.col("i_hash") == F.col("hash")) & (F.col("i_size") == F.col("size")), "fresh").otherwise("stale")
+    out = written.join(held, "path", "left").join(hit, "path", "left").select("path", state.alias("state"), F.coalesce("smoke", F.lit(False)).alias("smoke"))
+    return out.withColumn("degraded", (F.col("state") != "fresh") | ~F.col("smoke"))
+
+
 def validators(rows: DataFrame, checks: dict[str, Column], key: str) -> DataFrame:
     """Names of the checks that a row fails: key, failed, ok."""
     failed = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), n) for n, c in checks.items()]))

@@ -27,6 +27,7 @@ class SearchOptions:
     text_only_ratio: float = 1.0
     stopwords: tuple[str, ...] = ()
     reranker: Column | None = None
+    edges: DataFrame | None = None
 
     def __post_init__(self):
         if not 1 <= self.limit <= 50:
@@ -73,6 +74,8 @@ def search(index: Index, queries: DataFrame, now: str, options: SearchOptions =
         new = ranking.final_score(new, F.lit(now).cast("timestamp"), options.boosts).withColumns({"score": F.col("score") + F.col("link_boost"), "sources": F.array_union("sources", F.array(F.lit("link")))})
         rows = old.unionByName(new)
     rows = ranking.temporal_quality(rows, F.col("raw"), reference, bool(options.as_of), options.freshness, options.boosts, options.include_stale)
+    if options.edges is not None:
+        rows = ranking.graph_boosted(rows, options.edges)
     if options.reranker is not None:
         rows = ranking.reranked(rows, options.reranker)
     if options.text_only_ratio != 1.0:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
@@ -10,17 +11,14 @@ from .base import PARSED, VAULT, note_chunks, parsed, rows, table, values_sql, v
 
 
 def qrels(spark, sf):
-    """A case for each tenth customer: the orders of three, by number."""
-    o = table(spark, sf, "orders").filter("o_custkey % 10 = 0")
+    """A case for each customer with orders."""
+    o = table(spark, sf, "orders")
     return o.groupBy(F.col("o_custkey").cast("string").alias("case_id")).agg(F.array_sort(F.collect_set(F.concat(F.lit("o"), (F.col("o_orderkey") % 7).cast("string")))).alias("expected_paths"))
 
 
 def ranked(spark, sf):
-    o = table(spark, sf, "orders").filter("o_custkey % 10 in (0, 1)")
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
-    return o.select((F.col("o_custkey") - F.col("o_custkey") % 10).cast("string").alias("case_id"), F.concat(F.lit("o"), (F.col("o_orderkey") % 11).cast("string")).alias("path"), place.alias("rank"), "o_custkey").filter("rank <= 12 and o_custkey % 10 = 0").drop("o_custkey")
+    return table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("case_id"), F.concat(F.lit("o"), (F.col("o_orderkey") % 11).cast("string")).alias("path"), place.alias("rank")).filter("rank <= 12")
 
 
 def cases(spark, sf):
@@ -132,11 +130,11 @@ def hashed(spark, sf):
 
 
 def manifest(spark, sf):
-    return ev.manifest(hashed(spark, sf), 16)
+    return ev.manifest(hashed(spark, sf))
 
 
 def sealed(spark, sf):
-    return ev.manifest_digest(ev.manifest(hashed(spark, sf), 16))
+    return ev.manifest_digest(ev.manifest(hashed(spark, sf)))
 
 
 def tampered(spark, sf):
@@ -166,7 +164,7 @@ ASKED = [("q1", "architecture decision review", 0.9), ("q2", "erinan", 0.3), ("q
 
 
 def notes_text(spark, sf):
-    return parsed(spark, sf).filter("doc_id < 400").select("path", F.col("body").alias("text"))
+    return parsed(spark, sf).select("path", F.col("body").alias("text"))
 
 
 def asked(spark):
@@ -182,14 +180,35 @@ def reasoned(spark, sf):
     return gov.reasoning(notes_text(spark, sf), edges, asked(spark)).select("query_id", "reasons", "evidence", "n_relations", F.round("answer_confidence", 6).alias("answer_confidence"))
 
 
+HEALTH = [("h1", [], 5, 0, 0), ("h2", [], 5, 2, 0), ("h3", [], 5, 0, 1), ("h4", [], 5, 1, 1), ("h5", ["no_embeddings"], 5, 0, 0), ("h6", ["no_embeddings"], None, None, None), ("h7", [], None, None, None)]
+
+
+def maintained(spark, sf):
+    return ev.maintenance(rows(spark, "id string, codes array<string>, queries int, zero_hit int, missing_phrases int", HEALTH))
+
+
+def tried(spark, sf):
+    e = log(spark, sf).withColumn("weak_terms", ev.weak_terms(F.col("query")))
+    return ev.dry_run(e, {"stopwords": ["to"], "penalty": 0.9, "last_id": 100}, 3).select("events", "eligible", "stopwords", F.round("penalty", 6).alias("penalty"), "text_only_ratio", "confirmed_ratio")
+
+
+PROPOSED = [("p1", "a.md", "b.md", "supports", 0.5, "proposal", "two\nlines"), ("p2", "a.md", None, None, 0.12345, "rejected", "x")]
+
+
+def diffs(spark, sf):
+    p = rows(spark, "id string, source_path string, target_path string, relation string, confidence double, status string, rationale string", PROPOSED)
+    return p.select("id", gov.diff_text(*[F.col(c) for c in ("source_path", "target_path", "id", "relation", "confidence", "status", "rationale")]).alias("diff"))
+
+
 QUERIES = {
+    "p05_maintain": maintained, "m17_dry_run": tried, "n04_diff": diffs,
     "m01_matched": matched, "m02_case_metrics": case_rows, "m03_summary": totals, "m05_m08_compare": compared, "m09_gate": gated, "m07_percentiles": spread, "m04_phrases": phrases, "m06_source_shares": shares, "m10_feedback": feedback, "m11_merge": merged,
     "m14_weak_terms": weak, "m13_log_metrics": log_sums, "m15_proposal": tuned, "p04_errors": classified, "p02_health": health, "p01_status": status, "p06_manifest": manifest, "p06_sealed": sealed, "p06_tampered": tampered, "p09_duplicates": repeated,
     "a14_runs": runs, "l27_worker": worker, "n05_evidence": evidence, "n06_n09_reasoning": reasoned,
 }
 
-_Q = """qr AS (SELECT CAST(o_custkey AS VARCHAR) AS case_id, list_sort(list(DISTINCT 'o' || CAST(o_orderkey % 7 AS VARCHAR))) AS expected_paths FROM orders WHERE o_custkey % 10 = 0 GROUP BY o_custkey),
- rk AS (SELECT CAST(o_custkey AS VARCHAR) AS case_id, 'o' || CAST(o_orderkey % 11 AS VARCHAR) AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders WHERE o_custkey % 10 = 0 QUALIFY rank <= 12)"""
+_Q = """qr AS (SELECT CAST(o_custkey AS VARCHAR) AS case_id, list_sort(list(DISTINCT 'o' || CAST(o_orderkey % 7 AS VARCHAR))) AS expected_paths FROM orders GROUP BY o_custkey),
+ rk AS (SELECT CAST(o_custkey AS VARCHAR) AS case_id, 'o' || CAST(o_orderkey % 11 AS VARCHAR) AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 12)"""
 
 
 def _cases(name: str, rk: str, where: str = "TRUE") -> str:
@@ -203,9 +222,9 @@ _TOTAL = "SELECT count(*) AS queries, count_if(hit_1) AS top1, count_if(hit_3) A
 _LOG = "lg AS (SELECT event_id AS id, 'how ' || CASE WHEN event_id % 3 = 0 THEN 'to find the' ELSE 'find' END || ' ' || event_type || CASE WHEN event_id % 500 = 0 THEN ' 什么' ELSE '' END AS query, event_id % 5 AS returned, CASE WHEN event_id % 5 > 2 THEN 1 ELSE 0 END AS text_only, CASE WHEN event_id % 5 = 4 THEN 2 ELSE 0 END AS confirmed FROM events)"
 _WEAK = "list_sort(list_distinct(list_concat(list_filter(regexp_split_to_array(lower(query), '[^\\p{L}\\p{N}]+'), lambda t: list_contains(" + str(ev.WEAK_TERMS) + ", t)), list_filter(" + str(ev.WEAK_PHRASES) + ", lambda t: contains(query, t)))))"
 _LM = "SELECT count(*) AS events, CAST(sum(returned) AS BIGINT) AS returned, CAST(sum(text_only) AS BIGINT) AS text_only, CAST(sum(confirmed) AS BIGINT) AS confirmed, max(id) AS latest_id, round(sum(text_only) / CAST(sum(returned) AS DOUBLE), 9) AS text_only_ratio, round(sum(confirmed) / CAST(sum(returned) AS DOUBLE), 9) AS confirmed_ratio FROM lg WHERE id > 100"
-_HASH = f"{VAULT}, f AS (SELECT path, sha256(source) AS hash, strlen(source) AS size, CAST(floor(CAST(concat('0x', substr(sha256(path), 1, 4)) AS INTEGER) * 16 / 65536) AS INTEGER) AS bucket FROM vault), mf AS (SELECT bucket, sha256(string_agg(path || chr(0) || hash, chr(10) ORDER BY path)) AS digest, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM f GROUP BY bucket)"
+_HASH = f"{VAULT}, f AS (SELECT path, sha256(source) AS hash, strlen(source) AS size, CAST(CAST(CAST(concat('0x', substr(sha256(path), 1, 12)) AS BIGINT) AS HUGEINT) * (SELECT greatest(16, count(*) // 64) FROM vault) // 281474976710656 AS BIGINT) AS bucket FROM vault), mf AS (SELECT bucket, sha256(string_agg(path || chr(0) || hash, chr(10) ORDER BY path)) AS digest, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM f GROUP BY bucket)"
 _ASK = values_sql("asked", "query_id, raw, confidence", ASKED)
-_EV = f"""{_ASK}, nt AS (SELECT path, body AS text FROM parsed WHERE doc_id < 400), hp AS (SELECT query_id, path, CASE WHEN contains(lower(text), lower(raw)) THEN 3 ELSE 0 END + len(list_filter(regexp_split_to_array(lower(raw), '\\s+'), lambda w: strlen(w) >= 2 AND (contains(lower(text), w) OR contains(lower(path), w)))) AS points FROM nt, asked),
+_EV = f"""{_ASK}, nt AS (SELECT path, body AS text FROM parsed), hp AS (SELECT query_id, path, CASE WHEN contains(lower(text), lower(raw)) THEN 3 ELSE 0 END + len(list_filter(regexp_split_to_array(lower(raw), '\\s+'), lambda w: strlen(w) >= 2 AND (contains(lower(text), w) OR contains(lower(path), w)))) AS points FROM nt, asked),
  bp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, path) AS place FROM hp WHERE points > 0 QUALIFY place <= 5), fp AS (SELECT path, row_number() OVER (ORDER BY path) AS place FROM nt QUALIFY place <= 3), el AS (SELECT query_id, path, points, place FROM bp UNION ALL SELECT query_id, path, 0, place FROM asked, fp WHERE query_id NOT IN (SELECT query_id FROM bp))"""
 
 
@@ -214,6 +233,9 @@ def _has(words: list[str]) -> str:
 
 
 SQL = {
+    "p05_maintain": "SELECT * FROM (VALUES ('h1', 'passed', CAST([] AS VARCHAR[]), 'ready', TRUE), ('h2', 'zero_hit', ['smoke_query_failed'], 'unhealthy', FALSE), ('h3', 'phrases', ['smoke_query_failed'], 'unhealthy', FALSE), ('h4', 'zero_hit_and_phrases', ['smoke_query_failed'], 'unhealthy', FALSE), ('h5', 'not_ready', ['no_embeddings', 'smoke_query_failed'], 'unhealthy', FALSE), ('h6', 'skipped', ['no_embeddings'], 'needs_index', FALSE), ('h7', 'skipped', CAST([] AS VARCHAR[]), 'ready', TRUE)) t(id, eval, codes, state, ok)",
+    "m17_dry_run": f"WITH {_LOG}, lm AS ({_LM}), t AS (SELECT term FROM (SELECT unnest({_WEAK}) AS term FROM lg WHERE id > 100) WHERE term <> 'to' GROUP BY term HAVING count(*) >= 3 ORDER BY count(*) DESC, term LIMIT 2) SELECT events, events >= 3 AS eligible, (SELECT list(term ORDER BY term) FROM t) AS stopwords, CASE WHEN text_only_ratio > 0.25 THEN 0.87 WHEN text_only_ratio < 0.05 THEN 0.93 END AS penalty, text_only_ratio, confirmed_ratio FROM lm",
+    "n04_diff": "SELECT id, array_to_string([a, b, c, d, e, f, g, ''], chr(10)) AS diff FROM (VALUES ('p1', '--- a/a.md', '+++ b/b.md', '@@ semantic proposal p1', 'relation: supports', 'confidence: 0.500', 'status: proposal', 'rationale: two lines'), ('p2', '--- a/a.md', '+++ b/<missing-target>', '@@ semantic proposal p2', 'relation: unknown', 'confidence: 0.123', 'status: rejected', 'rationale: x')) t(id, a, b, c, d, e, f, g)",
     "m01_matched": f"WITH {_Q} SELECT r.case_id, path, min(rank) AS rank FROM rk r JOIN qr ON qr.case_id = r.case_id AND list_contains(expected_paths, path) GROUP BY ALL",
     "m02_case_metrics": f"WITH {_Q}, {_cases('cs', 'rk')} SELECT case_id, rank, round(recall, 6) AS recall, round(ndcg, 6) AS ndcg, round(mrr, 6) AS mrr, hit_1, hit_3, hit_k, results, files, round(duplicate_rate, 6) AS duplicate_rate FROM cs",
     "m03_summary": f"WITH {_Q}, {_cases('cs', 'rk')} {_TOTAL}",

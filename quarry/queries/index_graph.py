@@ -96,7 +96,7 @@ def last_states(spark, sf):
 
 
 def whole(spark, sf):
-    built, _ = graph.rebuild(parsed(spark, sf).filter("path like 'brain/%'"), proposals(spark), audit(spark))
+    built, _ = graph.rebuild(parsed(spark, sf), proposals(spark), audit(spark))
     return built.select("id", "source_path", "target_path", "relation", "state", "confidence", "proposal_id")
 
 
@@ -160,7 +160,7 @@ SQL = {
     "c08_p03_guard": "SELECT * FROM (VALUES ('model', 'a', 'b'), ('max_chars', '1200', '800')) t(key, stored, expected)",
     "j01_link_edges": f"WITH {PARSED}, {_edges()} SELECT {_ID} AS id, source_path, target_path, relation, state, confidence FROM le",
     "j02_judged": f"WITH {PARSED}, {_PROP}, {_judged('parsed')} SELECT id, reject_reason FROM judged",
-    "j05_j07_graph": f"""WITH {PARSED}, {_edges("starts_with(path, 'brain/')")}, {_PROP}, {_AUD}, {_judged('notes')}, pe AS (SELECT source_path, target_path, trim(relation) AS relation, coalesce(state, 'proposal') AS state, CASE WHEN confidence IS NULL THEN 0 ELSE least(greatest(confidence, 0), 1) END AS confidence, id AS proposal_id FROM judged LEFT JOIN states ON id = states.proposal_id WHERE reject_reason IS NULL),
+    "j05_j07_graph": f"""WITH {PARSED}, {_edges("TRUE")}, {_PROP}, {_AUD}, {_judged('notes')}, pe AS (SELECT source_path, target_path, trim(relation) AS relation, coalesce(state, 'proposal') AS state, CASE WHEN confidence IS NULL THEN 0 ELSE least(greatest(confidence, 0), 1) END AS confidence, id AS proposal_id FROM judged LEFT JOIN states ON id = states.proposal_id WHERE reject_reason IS NULL),
       e AS (SELECT * FROM le UNION ALL SELECT * FROM pe), k AS (SELECT source_path, target_path FROM e WHERE state = 'active' GROUP BY ALL HAVING count(DISTINCT relation) > 1),
       m AS (SELECT e.* REPLACE (CASE WHEN state = 'active' AND (source_path, target_path) IN (SELECT (source_path, target_path) FROM k) THEN 'conflict' ELSE state END AS state) FROM e) SELECT {_ID} AS id, source_path, target_path, relation, state, confidence, proposal_id FROM m""",
     "j06_neighbourhood": f"WITH {PARSED}, {_edges()} SELECT source_path AS asked, 'outgoing' AS direction, source_path, target_path FROM le WHERE source_path IN ('brain/4.md', 'wiki/en/3.md') UNION ALL SELECT target_path, 'incoming', source_path, target_path FROM le WHERE target_path IN ('brain/4.md', 'wiki/en/3.md')",

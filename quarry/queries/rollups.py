@@ -45,7 +45,7 @@ def planned(spark, sf):
 
 
 def sources(spark, sf):
-    return parsed(spark, sf).filter("doc_id < 300").select("path", "title", "tags", "links", F.substring("body", 1, 3000).alias("text"))
+    return parsed(spark, sf).select("path", "title", "tags", "links", F.col("body").alias("text"))
 
 
 def terms(spark, sf):
@@ -56,7 +56,7 @@ def themes(spark, sf):
     return ro.themes(sources(spark, sf))
 
 
-SLUGS = ["Some Topic/Name", "  --x--  ", "日本語", "audit", "Vault", "a", "under_score:colon", "é only", "反思"]
+SLUGS = ["Some Topic/Name", "  --x--  ", "日本語", "audit", "Vault", "a", "under_score:colon", "é only", "反思", "Hermes", "M3", "codex"]
 
 
 def slugs(spark, sf):
@@ -68,7 +68,7 @@ def observed(spark, sf):
     e = table(spark, sf, "events")
     topic = F.concat(F.col("event_type"), F.lit("-"), (F.col("user_id") % 9).cast("string"))
     mode = F.when(F.col("event_id") % 11 == 0, "weekly").when(F.col("event_id") % 3 == 0, "manual").otherwise("daily")
-    return e.filter("event_id % 7 = 0").select(topic.alias("topic_key"), F.concat(F.lit("Title "), topic).alias("title"), mode.alias("mode"), F.to_date("ts").alias("day"), F.when(F.col("value") > 50, "medium").otherwise("low").alias("confidence"), F.array(F.concat(F.lit("raw/"), F.col("event_type"))).alias("source_paths"), F.array(F.col("event_type")).alias("source_hashes"))
+    return e.select(topic.alias("topic_key"), F.concat(F.lit("Title "), topic).alias("title"), mode.alias("mode"), F.to_date("ts").alias("day"), F.when(F.col("value") > 50, "medium").otherwise("low").alias("confidence"), F.array(F.concat(F.lit("raw/"), F.col("event_type"))).alias("source_paths"), F.array(F.col("event_type")).alias("source_hashes"))
 
 
 def ledger(spark, sf):
@@ -101,7 +101,7 @@ def cards(spark, sf):
 
 
 def numbered(spark, sf):
-    return table(spark, sf, "documents").filter("doc_id < 60").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), (F.col("doc_id") + 1).cast("int").alias("position"), "text")
+    return table(spark, sf, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), (F.col("doc_id") + 1).cast("int").alias("position"), "text")
 
 
 def receipts(spark, sf):
@@ -134,7 +134,28 @@ def transcripts(spark, sf):
     return n.select("path", F.sha2(ro.transcript_body(F.col("source"), 1 << 20).cast("binary"), 256).alias("sha"), F.length(ro.transcript_body(F.col("source"))).alias("n"))
 
 
+def marks(spark, sf):
+    files = vault(spark, sf).select("doc_id", "path", F.sha2(F.col("source").cast("binary"), 256).alias("hash"), "mtime", F.octet_length("source").alias("size"))
+    held = ro.watermarks(files.filter("doc_id % 5 <> 2"), "daily", "run-1", "ok").withColumn("hash", F.when(F.col("path").like("brain/%"), F.lit("old")).otherwise(F.col("hash")))
+    failed = held.withColumn("last_status", F.when(F.col("path").like("wiki/en/1%"), "failed").otherwise(F.col("last_status")))
+    return ro.unprocessed(files, failed).select("path")
+
+
+def after_write(spark, sf):
+    files = vault(spark, sf).select("doc_id", "path", F.sha2(F.col("source").cast("binary"), 256).alias("hash"), F.octet_length("source").cast("long").alias("size"))
+    held = files.filter("doc_id % 6 <> 1").withColumn("hash", F.when(F.col("doc_id") % 6 == 2, F.lit("old")).otherwise(F.col("hash")))
+    return ro.written_state(files.drop("doc_id"), held, files.filter("doc_id % 4 <> 3"))
+
+
+TITLES = ["# 2024-03-01 Session: The harbour plan", "## notes", "ab", "Chat log | weekly_review", "  spaced   out  ", "2024/01/02"]
+
+
+def title_themes(spark, sf):
+    return rows(spark, "raw string", [(x,) for x in TITLES]).select("raw", ro.title_theme(F.col("raw")).alias("theme"))
+
+
 QUERIES = {
+    "l15_watermarks": marks, "l23_after_write": after_write, "b25_title_themes": title_themes,
     "l01_windows": windows, "l02_source_dates": dated, "l04_l05_selection": selected, "l03_background": behind, "l16_plan": planned, "l07_terms": terms, "l06_l08_themes": themes, "l09_theme_keys": slugs, "l10_l11_ledger": ledger, "l13_promotable": promoted,
     "l14_writes": writes, "l17_groups": groups, "l26_cards": cards, "l18_receipts": receipts, "l24_budget": budgeted, "l25_reflections": reflections, "l19_diff": diffed, "l21_validators": checked, "b24_transcript_body": transcripts,
 }
@@ -148,25 +169,31 @@ def _sel(mode: str, start: str, lower: str) -> str:
 
 
 _SEL = " UNION ALL ".join((_sel("daily", DAY, "FALSE"), _sel("weekly", "2024-03-11", "starts_with(path, 'brain/daily/')"), _sel("monthly", "2024-03-01", "starts_with(path, 'brain/daily/') OR starts_with(path, 'brain/weekly/')")))
-_STOP = "(" + ", ".join(f"'{w}'" for w in ro.THEME_STOPWORDS) + ")"
-
-
-def _plain(e: str) -> str:
-    other = f"regexp_replace({e}, '[\\x00-\\x7F]|[^\\p{{L}}\\p{{N}}]', '', 'g')"
-    return f"list_concat(list_filter(string_split(lower(regexp_replace({e}, '[^A-Za-z0-9_\\-]+', ' ', 'g')), ' '), lambda w: length(w) >= 3 AND w NOT IN {_STOP}), list_transform(range(1, length({other})), lambda i: substr({other}, i, 2)))"
+# Written out, so that the comparison does not read the operator's lists.
+_STOP = """('the', 'and', 'for', 'with', 'from', 'this', 'that', 'you', 'are', 'was', 'were', 'not', 'but', 'into', 'about', 'have', 'has', 'had', 'will', 'can', 'use', 'uses', 'using', 'see', 'note', 'notes', 'your', 'they', 'them',
+ 'what', 'when', 'then', 'than', 'there', 'here', 'which', 'would', 'could', 'should', 'also', 'just', 'only', 'more', 'most', 'some', 'any', 'all', 'one', 'two', 'out', 'its', 'his', 'her', 'our',
+ 'raw', 'conversation', 'transcript', 'source', 'source-evidence', 'text', 'redacted', 'compaction', 'reference', 'summary', 'metadata', 'session', 'sha256', 'type', 'status', 'trust', 'tier', 'primary', 'archived', 'started', 'ended')"""
+_SAME = """WHEN 'hermes' THEN 'hermes' WHEN '赫尔墨斯' THEN 'hermes' WHEN 'obsidian' THEN 'second-brain' WHEN 'vault' THEN 'second-brain' WHEN '第二大脑' THEN 'second-brain' WHEN '二脑' THEN 'second-brain' WHEN 'codex' THEN 'codex'
+ WHEN 'minimax' THEN 'minimax' WHEN 'm3' THEN 'minimax' WHEN '审计' THEN 'audit' WHEN 'audit' THEN 'audit' WHEN '反思' THEN 'reflection' WHEN 'reflect' THEN 'reflection' WHEN 'reflection' THEN 'reflection'"""
 
 
 def _terms(col: str, where: str = "TRUE") -> str:
-    return f"(SELECT path, term, count(*) AS freq FROM (SELECT path, unnest({_plain(f'coalesce({col}, {chr(39)}{chr(39)})')}) AS term FROM src WHERE {where}) GROUP BY path, term HAVING count(*) >= 2 QUALIFY row_number() OVER (PARTITION BY path ORDER BY count(*) DESC, term) <= 12)"
+    words = f"list_filter(string_split(lower(regexp_replace(x, '[^A-Za-z0-9_\\-]+', ' ', 'g')), ' '), lambda w: length(w) >= 3 AND w NOT IN {_STOP})"
+    pairs = "list_transform(range(1, length(other)), lambda i: substr(other, i, 2))"
+    text = f"(SELECT path, x, regexp_replace(x, '[\\x00-\\x7F]|[^\\p{{L}}\\p{{N}}]', '', 'g') AS other FROM (SELECT path, coalesce({col}, '') AS x FROM src WHERE {where}))"
+    return f"(SELECT path, term, count(*) AS freq FROM (SELECT path, unnest(list_concat({words}, {pairs})) AS term FROM {text}) GROUP BY path, term HAVING count(*) >= 2 QUALIFY row_number() OVER (PARTITION BY path ORDER BY count(*) DESC, term) <= 12)"
 
 
 _SLUG = "trim(regexp_replace(regexp_replace({0}, '[^a-z0-9\\-_ /:]', '', 'g'), '[\\-_ /:]+', '-', 'g'), '-')"
-_KEY = f"CASE WHEN length(lower(trim({{0}}))) < 2 THEN NULL ELSE CASE lower(trim({{0}})) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ro.SYNONYMS.items()) + f" ELSE 'content-' || nullif({_SLUG.format('lower(trim({0}))')}, '') END END"
-_SRC = f"{PARSED}, src AS (SELECT path, title, tags, links, substr(body, 1, 3000) AS text FROM parsed WHERE doc_id < 300)"
-_OBS = """obs AS (SELECT event_type || '-' || CAST(user_id % 9 AS VARCHAR) AS topic_key, CASE WHEN event_id % 11 = 0 THEN 'weekly' WHEN event_id % 3 = 0 THEN 'manual' ELSE 'daily' END AS mode, CAST(ts AS DATE) AS day, CASE WHEN value > 50 THEN 2 ELSE 1 END AS c, event_type FROM events WHERE event_id % 7 = 0),
+_KEY = f"CASE WHEN length(lower(trim({{0}}))) < 2 THEN NULL ELSE CASE lower(trim({{0}})) {_SAME} ELSE 'content-' || nullif({_SLUG.format('lower(trim({0}))')}, '') END END"
+_SRC = f"{PARSED}, src AS (SELECT path, title, tags, links, body AS text FROM parsed)"
+_OBS = """obs AS (SELECT event_type || '-' || CAST(user_id % 9 AS VARCHAR) AS topic_key, CASE WHEN event_id % 11 = 0 THEN 'weekly' WHEN event_id % 3 = 0 THEN 'manual' ELSE 'daily' END AS mode, CAST(ts AS DATE) AS day, CASE WHEN value > 50 THEN 2 ELSE 1 END AS c, event_type FROM events),
  led AS (SELECT topic_key, min(day) AS first_seen, max(day) AS last_seen, count(DISTINCT (mode, day)) AS repeat_count, count(DISTINCT day) AS days, greatest(max(c), CASE WHEN count(DISTINCT day) >= 3 THEN 3 WHEN count(DISTINCT day) = 2 THEN 2 ELSE 1 END) AS r, list_sort(list(DISTINCT mode)) AS modes, list_sort(list(DISTINCT 'raw/' || event_type)) AS source_paths FROM obs WHERE mode <> 'weekly' GROUP BY topic_key)"""
 
 SQL = {
+    "l15_watermarks": f"WITH {VAULT} SELECT path FROM vault WHERE doc_id % 5 = 2 OR starts_with(path, 'brain/') OR starts_with(path, 'wiki/en/1')",
+    "l23_after_write": f"WITH {VAULT}, s AS (SELECT path, CASE doc_id % 6 WHEN 1 THEN 'missing' WHEN 2 THEN 'stale' ELSE 'fresh' END AS state, doc_id % 4 <> 3 AS smoke FROM vault) SELECT *, state <> 'fresh' OR NOT smoke AS degraded FROM s",
+    "b25_title_themes": "SELECT * FROM (VALUES ('# 2024-03-01 Session: The harbour plan', 'The harbour plan'), ('## notes', NULL), ('ab', NULL), ('Chat log | weekly_review', 'weekly review'), ('  spaced   out  ', 'spaced out'), ('2024/01/02', NULL)) t(raw, theme)",
     "l01_windows": "WITH d AS (SELECT CAST(x AS DATE) AS day FROM (VALUES " + ", ".join(f"('{x}')" for x in DAYS) + ") t(x)) SELECT day, day AS daily, day AS manual, CAST(date_trunc('week', day) AS DATE) AS weekly, CAST(date_trunc('month', day) AS DATE) AS monthly, CAST(date_trunc('year', day) AS DATE) AS yearly FROM d",
     "l02_source_dates": f"WITH {PARSED} SELECT path, {_DATE} AS source_date FROM parsed",
     "l04_l05_selection": f"WITH {_MARKED}, s AS ({_SEL}) SELECT *, position <= 30 AS selected FROM s",
@@ -181,8 +208,8 @@ SQL = {
     "l14_writes": "SELECT * FROM (VALUES ('a', 'unchanged'), ('b', 'refused'), ('c', 'write'), ('d', 'write')) t(topic_key, action)",
     "l17_groups": f"WITH {_MARKED}, s AS ({_SEL}) SELECT CAST((position - 1) // 40 AS INTEGER) AS group_no, count(*) AS n, min(path) AS first_path FROM s WHERE mode = 'monthly' GROUP BY ALL",
     "l26_cards": "SELECT * FROM (VALUES (0, TRUE), (1, FALSE), (2, FALSE), (3, FALSE)) t(group_no, passed)",
-    "l18_receipts": "SELECT 'S' || CAST(doc_id + 1 AS VARCHAR) AS anchor, 'd/' || CAST(doc_id AS VARCHAR) AS path, sha256(substr(array_to_string(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN regexp_matches(l, '" + SECRET_LINE_SQL + "') THEN '[REDACTED]' ELSE l END), chr(10)), 1, 180)) AS quote_hash FROM documents WHERE doc_id < 60",
-    "l24_budget": "WITH r AS (SELECT doc_id + 1 AS position, CAST(sum(length(text)) OVER (ORDER BY doc_id) AS BIGINT) AS running FROM documents WHERE doc_id < 60) SELECT * FROM r WHERE position <= 24 AND (position = 1 OR running <= 28000)",
+    "l18_receipts": "SELECT 'S' || CAST(doc_id + 1 AS VARCHAR) AS anchor, 'd/' || CAST(doc_id AS VARCHAR) AS path, sha256(substr(array_to_string(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN regexp_matches(l, '" + SECRET_LINE_SQL + "') THEN '[REDACTED]' ELSE l END), chr(10)), 1, 180)) AS quote_hash FROM documents",
+    "l24_budget": "WITH r AS (SELECT doc_id + 1 AS position, CAST(sum(length(text)) OVER (ORDER BY doc_id) AS BIGINT) AS running FROM documents) SELECT * FROM r WHERE position <= 24 AND (position = 1 OR running <= 28000)",
     "l25_reflections": "SELECT * FROM (VALUES ('t1', TRUE), ('t2', FALSE), ('t3', FALSE), ('t4', FALSE), ('t5', FALSE), ('t6', TRUE)) t(id, ok)",
     "l19_diff": f"WITH {VAULT} SELECT path, CASE WHEN doc_id % 9 = 2 THEN 'removed' WHEN doc_id % 9 IN (1, 3) THEN 'changed' ELSE 'unchanged' END AS change FROM vault",
     "l21_validators": f"WITH {PARSED}, f AS (SELECT path, list_filter([CASE WHEN title IS NULL THEN 'has_title' END, CASE WHEN len(tags) = 0 THEN 'has_tags' END, CASE WHEN length(body) >= 5000 THEN 'short' END, CASE WHEN status IS NULL THEN 'has_status' END], lambda x: x IS NOT NULL) AS failed FROM parsed) SELECT *, len(failed) = 0 AS ok FROM f",

@@ -26,7 +26,7 @@ def ledger(spark, sf):
     e = events(spark, sf)
     topic = F.concat(F.col("event_type"), F.lit("-"), (F.col("user_id") % 9).cast("string"))
     mode = F.when(F.col("event_id") % 11 == 0, "weekly").when(F.col("event_id") % 3 == 0, "manual").otherwise("daily")
-    o = e.filter("event_id % 7 = 0").select(topic.alias("topic_key"), F.concat(F.lit("Title "), topic).alias("title"), mode.alias("mode"), F.to_date("ts").alias("day"), F.when(F.col("value") > 50, "medium").otherwise("low").alias("confidence"), F.array(F.concat(F.lit("raw/"), F.col("event_type"))).alias("source_paths"), F.array(F.col("event_type")).alias("source_hashes"))
+    o = e.select(topic.alias("topic_key"), F.concat(F.lit("Title "), topic).alias("title"), mode.alias("mode"), F.to_date("ts").alias("day"), F.when(F.col("value") > 50, "medium").otherwise("low").alias("confidence"), F.array(F.concat(F.lit("raw/"), F.col("event_type"))).alias("source_paths"), F.array(F.col("event_type")).alias("source_hashes"))
     return st.latest(st.run_available(st.streaming_ledger(o), folder(spark), "ledger"), "topic_key")
 
 

@@ -264,9 +264,11 @@ def test_metrics_of_a_case(spark):
 
 
 def test_optimizer_rolls_back():
-    s = {"stopwords": ["the"], "penalty": 0.9, "steps": 3, "confirmed_ratio": 0.5}
-    assert evaluation.next_state(s, [], None, 9, 0.4)["rolled_back"] and not evaluation.next_state(s, ["of", "to", "a"], 0.87, 9, 0.5)["rolled_back"]
-    assert evaluation.next_state(s, ["of", "to", "a"], 0.87, 9, 0.5)["stopwords"] == ["the", "of", "to"]
+    before = {"stopwords": [], "penalty": 0.95, "confirmed_ratio": 0.5}
+    s = {"stopwords": ["the"], "penalty": 0.9, "steps": 3, "confirmed_ratio": 0.5, "previous": before}
+    back, on = evaluation.next_state(s, [], None, 9, 0.4), evaluation.next_state(s, ["of", "to"], 0.87, 9, 0.5)
+    assert back["rolled_back"] and back["penalty"] == 0.95 and back["stopwords"] == [] and back["steps"] == 0
+    assert not on["rolled_back"] and on["stopwords"] == ["of", "the", "to"] and on["steps"] == 4 and on["previous"]["penalty"] == 0.9
 
 
 def test_reasoning_without_a_reason_gives_no_evidence(spark):
