@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import shutil
 import tempfile
 
@@ -19,6 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _trim():
+    """glibc's malloc_trim, or nothing elsewhere."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda pad: 0
+
+
+def give_back() -> None:
+    """Returns what a worker has freed to the system: workers are kept between tasks, and each would keep its largest task's memory."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def quoted(name: str) -> str:
     """A column's name as an expression, dots and all."""
     return "`" + name.replace("`", "``") + "`"

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import batch
+from .common import batch, give_back
 
 CAPACITY, END_ID, POOL, CACHED_WORDS = 4096, 2, 384, 400_000
 #: Bits of sequence_id that number the windows of one task.
@@ -204,6 +204,8 @@ def pack_batches(batches: Iterable[pa.RecordBatch], path: str, capacity: int = C
         write(window)
     if rows:
         yield out()
+    ids_of.old = {}
+    give_back()
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, quoted, table
+from .common import WORD, give_back, quoted, table
 
 WIDTH, GRAM = 50, 24
 LEFT = WIDTH - GRAM
@@ -422,6 +422,13 @@ def splitters(docs: DataFrame, n_docs: int, n_ranges: int) -> list[bytes]:
     return sorted({found[len(found) * k // n_ranges] for k in range(1, n_ranges)}) if found else []
 
 
+def freeing(step, *tables):
+    """A step's result, with what its group took given back."""
+    out = step(*tables)
+    give_back()
+    return out
+
+
 def cut_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Per document doc_id, _rest (a struct of its columns but the text), _n_bytes, _n_removed, _n_spans, _kept_sha256, _span_starts, _span_ends.
 
@@ -436,16 +443,16 @@ def cut_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         F.struct(*[F.col(quoted(c)) for c in docs.columns if c != "text"]).alias("_rest"),
     )
     by_block = dealt.groupBy("_block")
-    grams = by_block.applyInArrow(lambda key, t: plan.send_grams(key, t), MESSAGE_DDL)
-    gram_answers = grams.groupBy("to").applyInArrow(lambda key, t: plan.answer_grams(key, t), MESSAGE_DDL)
-    contexts = by_block.cogroup(gram_answers.groupBy("to")).applyInArrow(lambda key, t, found: plan.send_contexts(key, t, found), MESSAGE_DDL)
-    answers = contexts.groupBy("to").applyInArrow(lambda key, t: plan.answer_contexts(key, t), MESSAGE_DDL).unionByName(gram_answers)
+    grams = by_block.applyInArrow(lambda key, t: freeing(plan.send_grams, key, t), MESSAGE_DDL)
+    gram_answers = grams.groupBy("to").applyInArrow(lambda key, t: freeing(plan.answer_grams, key, t), MESSAGE_DDL)
+    contexts = by_block.cogroup(gram_answers.groupBy("to")).applyInArrow(lambda key, t, found: freeing(plan.send_contexts, key, t, found), MESSAGE_DDL)
+    answers = contexts.groupBy("to").applyInArrow(lambda key, t: freeing(plan.answer_contexts, key, t), MESSAGE_DDL).unionByName(gram_answers)
     out = T.StructType([dealt.schema["doc_id"], dealt.schema["_rest"]])
     for name, kind in (("_n_bytes", "long"), ("_n_removed", "long"), ("_n_spans", "long"), ("_kept_sha256", "string"), ("_span_starts", T.ArrayType(T.LongType())), ("_span_ends", T.ArrayType(T.LongType()))):
         out = out.add(name, kind)
     if with_text:
         out = out.add("_kept_text", "string").add("_was_null", "boolean")
-    return by_block.cogroup(answers.groupBy("to")).applyInArrow(lambda key, documents, found: plan.cut(documents, found), out)
+    return by_block.cogroup(answers.groupBy("to")).applyInArrow(lambda key, documents, found: freeing(plan.cut, documents, found), out)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
