@@ -12,6 +12,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -627,6 +629,35 @@ def test_near_copies_beyond_three_bits(spark):
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, [x for x, c in of.items() if x == c] + [None]))
 
 
+def test_near_copies_of_chains_in_tiny_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 600)
+    rng = random.Random(8)
+    rows = []
+    for chain in range(6):  # a text changes word by word, so that only those close in the chain are similar
+        words = [f"w{rng.randrange(3000)}" for _ in range(120)]
+        for _ in range(50):
+            rows.append((len(rows), " ".join(words)))
+            for at in rng.sample(range(120), 2):
+                words[at] = f"w{rng.randrange(3000)}"
+    rows += [(len(rows) + k, rows[k][1]) for k in range(0, 300, 7)]
+    sets = {d: plain_shingles(t) for d, t in rows}
+    near = [(a, b) for a in sets for b in sets if b < a and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    of = plain_components(sets, near)
+    found = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "xxhash64(text) as _row")).collect()
+    groups, plain = defaultdict(set), defaultdict(set)
+    for r in found:
+        groups[r.component_id].add(r.doc_id)
+    for d, c in of.items():
+        plain[c].add(d)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, plain.values()))
+
+
+@given(st.lists(st.sets(st.integers(0, 3000), min_size=1, max_size=12), min_size=1, max_size=8), st.lists(st.sets(st.integers(0, 3000), min_size=1, max_size=12), min_size=1, max_size=8))
+def test_similarity_of_sets(left, right):
+    sides = [[np.sort(np.array(list(x), dtype=np.uint64)) for x in side] for side in (left, right)]
+    assert near_copies.similar(*sides).tolist() == [[5 * len(a & b) >= 4 * len(a | b) for b in right] for a in left]
+
+
 def test_near_copies_are_decided_by_row(spark):
     words = [f"w{k}" for k in range(100)]
     copy, other = " ".join([*words[:-1], "end"]), "a clean text of its own under the id that a copy has as well"
