@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterable, Iterator
@@ -30,7 +31,12 @@ CAPACITY, END_ID, POOL, CACHED_WORDS = 4096, 2, 384, 400_000
 LOCAL_BITS = 36
 #: White space to Python but not to the tokenizer, and chunks between what is white space to the tokenizer.
 NOT_SPACE, CHUNKS = re.compile(r"[\x1c-\x1f]"), re.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-LETTERS_AND_STOP = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+[,.]")
+#: Letters that stay letters, one by one, in lower case; then ASCII signs that neither join letters nor begin a special token's name.
+LETTERS_AND_SIGNS = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:;=?@\[-`{}~]*)")
+#: The characters that byte-level vocabularies have for bytes which Latin-1 doesn't print.
+BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+#: Words by which a tokenizer shows whether letters go to its model as they are, in lower case and byte by byte.
+PROBES = ["a", "Zebra", "the", "windows", "\xc0\xe9\xf1", "stra\xdfe", "\xd8re", "\xff\xfe", "qzxjkvw" * 9, *map(chr, range(0xC0, 0xD7)), *map(chr, range(0xD8, 0xF7)), *map(chr, range(0xF8, 0x100))]
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 PIECES_WITH_IDS = PIECES.append(pa.field("ids", pa.list_(pa.int32())))
@@ -46,14 +52,29 @@ class WordIds(dict):
 
     def __init__(self, tokenizer, most: int = CACHED_WORDS):
         super().__init__()
-        self.tokenizer, self.most, self.old = tokenizer, most, {}
+        self.tokenizer, self.most, self.old, self.model = tokenizer, most, {}, tokenizer.model
+        self.direct = all(self.ids_of_letters(x) == self.ids_of_any(x) for x in PROBES)
+
+    def ids_of_any(self, chunk: str) -> bytes:
+        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def ids_of_letters(self, chunk: str) -> bytes:
+        """The model's ids, without the steps that leave a run of letters whole."""
+        chunk = chunk.lower()
+        if not chunk.isascii():
+            chunk = chunk.encode().decode("latin-1").translate(BYTE_SIGNS)
+        ids = [x.id for x in self.model.tokenize(chunk)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
-            if LETTERS_AND_STOP.fullmatch(chunk):  # these letters and a stop are never one token, and stay letters in lower case
-                return self[chunk[:-1]] + self[chunk[-1]]
-            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            parts = LETTERS_AND_SIGNS.fullmatch(chunk) if self.direct else None
+            if parts and parts[2]:  # letters and signs are never one token
+                ids = self[parts[1]] + self[parts[2]]
+            else:
+                ids = self.ids_of_letters(chunk) if parts else self.ids_of_any(chunk)
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
