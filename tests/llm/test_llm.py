@@ -658,6 +658,45 @@ def test_similarity_of_sets(left, right):
     assert near_copies.similar(*sides).tolist() == [[5 * len(a & b) >= 4 * len(a | b) for b in right] for a in left]
 
 
+def test_near_copies_meet_by_simhash():
+    rng = random.Random(11)
+    found = np.array(sorted(rng.getrandbits(64) for _ in range(700)), dtype=np.uint64)
+    hashes = near_copies.mixed(found[:, None] ^ near_copies.FLIPS)
+    plain = [2 * sum(int(h) >> b & 1 for h in hashes[:, w]) > len(found) for w in range(hashes.shape[1]) for b in range(64)]
+    bits = near_copies.fingerprint(found)
+    assert bits.tolist() == plain
+    keys = near_copies.table_keys(bits).tolist()
+    assert keys == [(t << 12) + sum(plain[12 * t + k] << k for k in range(12)) for t in range(64)]
+    for n, more in ((700, 0), (80, 20), (8, 2), (9, 0)):  # sets just similar enough
+        for _ in range(40):
+            both = [rng.getrandbits(64) for _ in range(n - (n // 9 if not more else 0))]
+            left, right = ([*both, *[rng.getrandbits(64) for _ in range(k)]] for k in ((0, more) if more else (n // 9, n // 9)))
+            a, b = (near_copies.fingerprint(np.array(x, dtype=np.uint64)) for x in (left, right))
+            assert (near_copies.table_keys(a) == near_copies.table_keys(b)).any() and (a[:384] != b[:384]).sum() <= near_copies.RADIUS
+
+
+@pytest.mark.parametrize("many", [4096, 30])
+def test_clusters_of_buckets(monkeypatch, many):
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_copies, "MANY", many)
+    monkeypatch.setattr(near_copies, "CELLS", 50)
+    rng = random.Random(12)
+    centres = [[rng.getrandbits(64) for _ in range(6)] for _ in range(40)]
+    rows = []
+    for node in range(400):
+        c = rng.randrange(40 if node % 2 else 2)
+        rows.append((c % 3, 256 + rng.randint(60, 110), node - 200, *[x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for x in centres[c]]))
+    rows.sort()
+    near = [(a[2], b[2]) for a in rows for b in rows if a < b and a[0] == b[0] and sum((x ^ y).bit_count() for x, y in zip(a[3:], b[3:])) <= near_copies.RADIUS and 5 * (a[1] - 256) >= 4 * (b[1] - 256)]
+    of = plain_components([r[2] for r in rows], near)
+    n = Counter(of.values())
+    for size in (7, 1000):
+        parts = [pa.RecordBatch.from_arrays([pa.array(np.array(c, dtype=np.uint64).view(np.int64) if k > 2 else np.array(c, dtype=np.int32 if not k else np.int64)) for k, c in enumerate(zip(*rows[i : i + size]))], names=list("abcdefghi")) for i in range(0, 400, size)]
+        found = [tuple(r.values()) for x in near_copies.cluster_batches(iter(parts)) for r in x.to_pylist()]
+        assert sorted(found) == sorted((c, node, n[c]) for node, c in of.items() if n[c] > 1)
+
+
 def test_near_copies_are_decided_by_row(spark):
     words = [f"w{k}" for k in range(100)]
     copy, other = " ".join([*words[:-1], "end"]), "a clean text of its own under the id that a copy has as well"
