@@ -41,8 +41,8 @@ from .common import WORD, give_back, quoted, table
 WIDTH, GRAM = 50, 24
 LEFT = WIDTH - GRAM
 BLOCK_BYTES, RANGE_BYTES, LEAST_RANGES, SAMPLE_DOCS, SAMPLES = (4 << 20, 64 << 20), 24 << 20, 12, 4000, 16
-#: Bytes hashed at once.
-SEGMENT = 1 << 20
+#: Bytes hashed, and contexts taken, at once.
+SEGMENT, AT_ONCE = 1 << 20, 1 << 15
 CONTEXT = WIDTH + LEFT + 2
 U = np.uint64
 MESSAGE = pa.schema([("to", pa.int32()), ("sender", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
@@ -178,24 +178,26 @@ class Block:
         after = np.minimum(self.bounds[1:][doc] - at, WIDTH)
         before = np.minimum(at - self.bounds[:-1][doc], LEFT)
         view = np.lib.stride_tricks.sliding_window_view(self.bytes, WIDTH + LEFT)
-        raw = view[at]  # from LEFT bytes before an anchor
-        c = np.zeros((len(at), -(-CONTEXT // 8) * 8), np.uint8)
-        c[:, :WIDTH] = np.where(np.arange(WIDTH) < after[:, None], raw[:, LEFT:], 0)
-        c[:, WIDTH : WIDTH + LEFT] = np.where(np.arange(LEFT) < before[:, None], raw[:, :LEFT][:, ::-1], 0)
-        c[:, WIDTH + LEFT], c[:, WIDTH + LEFT + 1] = after, before
-        h = np.zeros(len(at), np.uint64)
-        for k in range(c.shape[1] // 8):
-            h = mixed(h + np.ascontiguousarray(c[:, 8 * k : 8 * k + 8]).view("<u8").ravel() + U(k + 1))
+        c, h = np.zeros((len(at), -(-CONTEXT // 8) * 8), np.uint8), np.zeros(len(at), np.uint64)
+        for s in range(0, len(at), AT_ONCE):
+            e = min(s + AT_ONCE, len(at))
+            raw, part = view[at[s:e]], c[s:e]  # from LEFT bytes before an anchor
+            part[:, :WIDTH] = np.where(np.arange(WIDTH) < after[s:e, None], raw[:, LEFT:], 0)
+            part[:, WIDTH : WIDTH + LEFT] = np.where(np.arange(LEFT) < before[s:e, None], raw[:, :LEFT][:, ::-1], 0)
+            part[:, WIDTH + LEFT], part[:, WIDTH + LEFT + 1] = after[s:e], before[s:e]
+            for k in range(c.shape[1] // 8):
+                h[s:e] = mixed(h[s:e] + np.ascontiguousarray(part[:, 8 * k : 8 * k + 8]).view("<u8").ravel() + U(k + 1))
         order = np.argsort(h, kind="stable")
-        same = (h[order][1:] == h[order][:-1]) & (c[order][1:] == c[order][:-1]).all(axis=1)
-        if (same != (h[order][1:] == h[order][:-1])).any():  # different contexts of one hash
+        same = h[order][1:] == h[order][:-1]
+        pairs = np.flatnonzero(same)
+        if any((c[order[x]] != c[order[x + 1]]).any() for x in np.split(pairs, range(AT_ONCE, len(pairs), AT_ONCE))):  # different contexts of one hash
             order = np.lexsort(c.T[::-1])
             same = (c[order][1:] == c[order][:-1]).all(axis=1)
         first = np.flatnonzero(np.concatenate(([True], ~same))) if len(at) else np.zeros(0, np.int64)
         place = np.empty(len(at), np.int64)
         place[order] = np.cumsum(np.concatenate(([0], ~same))) if len(at) else 0
         ids = np.minimum.reduceat(self.ids[doc][order], first) if len(at) else np.zeros(0, np.int64)
-        return c[order][first][:, :CONTEXT], ids, place
+        return c[order[first], :CONTEXT], ids, place
 
 
 def messages(rows: list[tuple]) -> pa.Table:

@@ -298,6 +298,25 @@ def test_equal_keys_of_different_contexts(monkeypatch):
 # 5. Packing
 
 
+def test_contexts_take_memory_by_slices(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefgh ", k=2000)) for _ in range(200)]
+    block = substrings.Block(np.arange(400), np.ones(400, dtype=bool), pa.array([t.encode() for t in texts * 2]))
+    every = np.arange(len(block.at))
+    expected = block.contexts(every)
+    monkeypatch.setattr(substrings, "AT_ONCE", 1000)
+    tracemalloc.start()
+    found = block.contexts(every)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 * len(every) and all((a == b).all() for a, b in zip(found, expected))
+    assert len(found[0]) < len(every) and (found[0][found[2]][:, -2] == np.minimum(block.bounds[1:][block.doc] - block.at, 50)).all()
+
+
 def test_pack_round_trip(spark, docs):
     tokenizer = Tokenizer.from_file(TOKENIZER)
     rows = docs.collect()
