@@ -12,7 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -716,6 +716,31 @@ def test_clusters_of_buckets(monkeypatch, many):
         assert sorted(found) == sorted((c, node, n[c]) for node, c in of.items() if n[c] > 1)
 
 
+def test_links_of_a_group_grow_with_its_members(spark, monkeypatch):
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(150)]
+    given = []
+    monkeypatch.setattr(near_copies, "components", lambda edges: given.append(edges.distinct().count()) or components(edges))
+    for n in (75, 300):
+        rows = [(k, " ".join("changed" if at in some else w for at, w in enumerate(words))) for k in range(n) for some in [rng.sample(range(150), 2)]]
+        sets = {d: plain_shingles(t) for d, t in rows}
+        near = [(a, b) for a in sets for b in sets if b < a and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+        of = plain_components(sets, near)
+        kept = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(x for x, c in of.items() if x == c) and len(set(of.values())) < n // 10
+        assert given[0] <= 3 * n, given
+        given.clear()
+
+
+@given(st.lists(st.lists(st.integers(-9, 40), min_size=1, max_size=9, unique=True), max_size=12))
+@settings(max_examples=8, deadline=None)
+def test_links_of_leasts_connect_what_clusters_connect(spark, clusters):
+    found = [(min(c), x, len(c)) for c in clusters for x in c]
+    edges = [tuple(r) for r in near_copies.star_links(spark.createDataFrame(found, "least long, node long, n long")).collect()]
+    nodes = {x for _, x, _ in found}
+    assert plain_components(nodes, edges) == plain_components(nodes, [r[:2] for r in found]) and len(edges) == len(set(edges))
+
+
 def test_near_copies_are_decided_by_row(spark):
     words = [f"w{k}" for k in range(100)]
     copy, other = " ".join([*words[:-1], "end"]), "a clean text of its own under the id that a copy has as well"
