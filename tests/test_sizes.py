@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import similarity
+from quarry.operators import retrieval, similarity
 from quarry.queries import base
 from quarry.sources.shared import shared_folder
 
@@ -52,3 +52,20 @@ def test_candidates_keep_little_on_disk(spark):
     before = kept_bytes(spark)
     queries.pools(spark, "/root/testdata/sf0.01").write.format("noop").mode("overwrite").save()
     assert kept_bytes(spark) - before < 2 * os.path.getsize("/root/testdata/sf0.01/documents.parquet")
+
+
+@pytest.mark.parametrize("block, ids", [(2, 3), (2048, 4_000_000)])
+def test_links_in_blocks(spark, monkeypatch, block, ids):
+    monkeypatch.setattr(retrieval, "LINK_BLOCK", block)
+    monkeypatch.setattr(retrieval, "LINK_IDS", ids)
+    rows = [(f"c{k}", f"n/{k}.md", "Hot" if k % 2 else f"{k}" if k % 3 else None, ["Hot", f"{k + 1}", "x/0.md|zero", " "] if k % 4 < 2 else ["hot#part"]) for k in range(12)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, path string, title string, links array<string>")
+    keys = {c: {p[2:-3].lower(), (t or "").lower()} - {""} for c, p, t, _ in rows}
+    named = {c: {x.split("|")[0].split("#")[0].split("/")[-1].removesuffix(".md").strip().lower() for x in links} - {""} for c, _, _, links in rows}
+    want = sorted((s, t) for s in named for t in keys if s != t and named[s] & keys[t])
+    links = retrieval.outgoing_links(chunks)
+    assert sorted((r.source_id, r.target_id) for r in links.collect()) == want
+    evidence = {r.chunk_id: r.backlinks for r in retrieval.link_evidence(chunks).collect()}
+    assert evidence == {c: sorted(s for s, t in want if t == c) for c in keys}
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]  # pairs aren't shuffled to be told apart
