@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from ..functions.markdown import structure
 
 MAX_BYTES, LEAST_BYTES = 1200, 200
+#: Characters of notes that a task cuts at once (one note at least), and chunks that it passes on at once.
+CUT_CHARS, PIECE_ROWS = 2_000_000, 2000
 HEADING = re.compile(r"(#{1,6})(?!#)\s*(\S.*)")
 FENCE = re.compile(r"`{3,}|~{3,}")
 
@@ -91,14 +93,31 @@ PIECE = T.StructType([T.StructField("heading", T.StringType()), T.StructField("l
 def cut(max_bytes: int, overlap: int, schema: T.StructType, at: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [list(sections(x.as_py() or "", max_bytes, overlap)) for x in b.column(at)]
-            counts = [len(f) for f in found]
-            repeat = pa.array([k for k, n in enumerate(counts) for _ in range(n)], pa.int64())
-            flat = [p for f in found for p in f]
-            columns = [c.take(repeat) for k, c in enumerate(b.columns) if k != at]
-            columns += [pa.array([p[0] for p in flat], pa.string()), pa.array([p[1] for p in flat], pa.int32()), pa.array([p[2] for p in flat], pa.int32()), pa.array([p[3] for p in flat], pa.string())]
-            if flat:
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            texts, begin, held = b.column(at), 0, 0
+            for end in range(1, b.num_rows + 1):
+                held += texts[end - 1].as_py() is not None and len(texts[end - 1].as_py())
+                if held >= CUT_CHARS or end == b.num_rows:
+                    yield from pieces(b.slice(begin, end - begin))
+                    begin, held = end, 0
+
+    def pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Chunks of a few notes; a note's other columns are repeated PIECE_ROWS at a time."""
+        repeat: list[int] = []
+        flat: list[tuple] = []
+        for k, x in enumerate(b.column(at)):
+            for piece in sections(x.as_py() or "", max_bytes, overlap):
+                repeat.append(k)
+                flat.append(piece)
+                if len(flat) == PIECE_ROWS:
+                    yield batch(b, repeat, flat)
+                    repeat, flat = [], []
+        if flat:
+            yield batch(b, repeat, flat)
+
+    def batch(b: pa.RecordBatch, repeat: list[int], flat: list[tuple]) -> pa.RecordBatch:
+        columns = [c.take(pa.array(repeat, pa.int64())) for k, c in enumerate(b.columns) if k != at]
+        columns += [pa.array([p[0] for p in flat], pa.string()), pa.array([p[1] for p in flat], pa.int32()), pa.array([p[2] for p in flat], pa.int32()), pa.array([p[3] for p in flat], pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return run
 
