@@ -2,11 +2,15 @@
 
 import hashlib
 import os
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.operators import evaluation, retrieval, similarity
+from quarry.operators import chunking, evaluation, retrieval, similarity
 from quarry.queries import base
 from quarry.sources.shared import shared_folder
 
@@ -79,3 +83,40 @@ def test_manifest_seal_is_the_digest_of_all_buckets(spark):
     seal = evaluation.manifest_digest(held).collect()
     digests = [r.digest for r in held.orderBy("bucket").collect()]
     assert [(r.digest, r.files, r.bytes) for r in seal] == [(hashlib.sha256("".join(digests).encode()).hexdigest(), 1000, 499_500)]
+
+
+def peak_mb(run):
+    tracemalloc.start()
+    run()
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return peak
+
+
+def test_nearest_holds_few_distances_at_once():
+    rng = np.random.default_rng(0)
+    queries = [(str(k), v) for k, v in enumerate(rng.normal(size=(1000, 8)))]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(10_000)]), pa.array(list(rng.normal(size=(10_000, 8))), pa.list_(pa.float64()))], names=["chunk_id", "embedding"])
+    assert peak_mb(lambda: list(retrieval.nearest(queries, 5, "chunk_id")([batch]))) < 40  # all distances are 80 MB
+
+
+def test_exact_scan_ranks_nothing(spark):
+    """All rows of a query were sorted in one task, for a rank that nothing read."""
+    from quarry.queries import search
+
+    assert "Window" not in search.exact_backend(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunks_are_passed_on_as_they_are_cut():
+    body = "\n".join(f"# {k}\nline {k}" for k in range(400))
+    batch = pa.RecordBatch.from_arrays([pa.array([f"p{k}" for k in range(300)]), pa.array([body] * 300)], names=["path", "body"])
+    schema = T.StructType([T.StructField("path", T.StringType()), *chunking.PIECE.fields])
+    found = 0
+
+    def run():
+        nonlocal found
+        for b in chunking.cut(1200, 0, schema, 1)([batch]):
+            assert b.num_rows <= 2000
+            found += b.num_rows
+
+    assert peak_mb(run) < 10 and found == 300 * 400
