@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any
+from .retrieval import sent
 
 # Words that ask for a closer look.
 REASON_CUES = ["判断", "取舍", "复盘", "架构", "综合", "推理", "结论", "为什么", "tradeoff", "trade-off", "architecture", "reason", "synthesis", "decision", "review"]
@@ -49,6 +50,7 @@ def evidence(notes: DataFrame, queries: DataFrame, most: int = 5, fallback: int
     notes: path, text; queries: query_id, raw.
     """
     q = queries.select("query_id", F.lower("raw").alias("phrase"), F.filter(F.split(F.lower("raw"), r"\s+"), lambda w: F.octet_length(w) >= 2).alias("words"))
+    q = sent(q)
     text, path = F.lower("text"), F.lower("path")
     points = F.when((F.col("phrase") != "") & F.contains(text, F.col("phrase")), 3).otherwise(0) + F.size(F.filter("words", lambda w: F.contains(text, w) | F.contains(path, w)))
     hit = notes.join(q, F.exists("words", lambda w: F.contains(text, w) | F.contains(path, w)) | F.contains(text, F.col("phrase"))).select("query_id", "path", points.alias("points")).filter("points > 0")

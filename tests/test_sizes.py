@@ -120,3 +120,14 @@ def test_chunks_are_passed_on_as_they_are_cut():
             found += b.num_rows
 
     assert peak_mb(run) < 10 and found == 300 * 400
+
+
+def test_queries_go_to_the_chunks(spark):
+    """Else the chunks are sent to the queries' few tasks."""
+    from quarry.operators import governance, query_analysis
+
+    chunks, asked = base.note_chunks(spark, SF), spark.createDataFrame([("q", "when was the config report started")], "query_id string, raw string")
+    analyzed = query_analysis.analyze(asked)
+    for found in (retrieval.route_candidates(chunks, analyzed), retrieval.tier_candidates(chunks, analyzed), governance.evidence(chunks, asked)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastNestedLoopJoin BuildRight, Inner" in plan
